@@ -27,14 +27,14 @@ WITH sized AS (
     coalesce(1.0::DOUBLE / (1.0::DOUBLE + 8.0::DOUBLE * (length(text) - length(regexp_replace(text, '[!-@\[-`{-~]', '', 'g')))::DOUBLE / greatest(length(text), 1)::DOUBLE), 1.0::DOUBLE) AS weight
   FROM documents),
 ranked AS (
-  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) AS at FROM sized GROUP BY source),
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) AS pos FROM sized GROUP BY source),
 weighed AS (
-  SELECT *, at % 3 + 1 AS w, 3 * source_size AS cap, (3 * source_size)::DOUBLE / (at % 3 + 1)::DOUBLE AS ratio FROM ranked),
+  SELECT *, pos % 3 + 1 AS w, 3 * source_size AS cap, (3 * source_size)::DOUBLE / (pos % 3 + 1)::DOUBLE AS ratio FROM ranked),
 filled AS (
-  SELECT *, (sum(source_size) OVER () ::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
-    / sum(w) OVER (ORDER BY ratio, at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM weighed),
+  SELECT *, (sum(source_size) OVER () ::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(w) OVER (ORDER BY ratio, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM weighed),
 goals AS (
-  SELECT source, source_size, least(cap::DOUBLE, coalesce(w::DOUBLE * (SELECT level FROM filled WHERE level <= ratio ORDER BY ratio, at LIMIT 1), cap::DOUBLE)) AS target FROM filled),
+  SELECT source, source_size, least(cap::DOUBLE, coalesce(w::DOUBLE * (SELECT level FROM filled WHERE level <= ratio ORDER BY ratio, pos LIMIT 1), cap::DOUBLE)) AS target FROM filled),
 budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM goals),
 ordered AS (
