@@ -106,12 +106,28 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most positives + unlabelled ids
     sample = materialize(texts.dropDuplicates(["doc_id", "positive"]).select("positive", "text"), "toxic-sample")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Counter(f for b in batches for t in b.column(1) for f in {f for w in distinct_words(t.as_py()) for f in word_features(w)})
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["f", "n"])
-
-    sums = sample.where("positive").mapInArrow(counted, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    names = [r.f for r in sums.where("n >= 4").orderBy(F.desc("n"), "f").limit(4 * limits.features).select("f").toLocalIterator()]
+    def counted(among: frozenset[str] | None):
+        """Documents that have each feature, of all features or those among some."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = lambda t: {f for w in distinct_words(t) for f in word_features(w) if among is None or f in among}
+            found = Counter(f for b in batches for t in b.column(1) for f in of(t.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["f", "n"])
+
+        return run
+
+    def sums(kind: bool, among: frozenset[str] | None = None) -> DataFrame:
+        return sample.where(F.col("positive") == kind).mapInArrow(counted(among), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n >= 4")
+
+    in_positive = {r.f: r.n for r in sums(True).orderBy(F.desc("n"), "f").limit(4 * limits.features).toLocalIterator()}
+    in_others = {r.f: r.n for r in sums(False, frozenset(in_positive)).toLocalIterator()}
+    size = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
+    gain = {}
+    for f, n in in_positive.items():
+        often, else_often = (n + 0.5) / (size[True] + 1), (in_others.get(f, 0) + 0.5) / (size.get(False, 0) + 1)
+        if often >= 1.5 * else_often:
+            gain[f] = math.log(often / else_often) * math.sqrt(often)
+    names = sorted(gain, key=lambda f: (-gain[f], f))[: limits.features]
     index = {f: i for i, f in enumerate(names)}
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,18 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     positive = got["positive"].to_numpy()
     lists = got["f"].combine_chunks()
     cols, rows = lists.flatten().to_numpy(), np.repeat(np.arange(len(positive)), np.diff(lists.offsets.to_numpy()))
-    pairs = np.unique(rows * np.int64(len(names) + 1) + cols)
-    has_row, has_col = pairs // (len(names) + 1), pairs % (len(names) + 1)
-    rate = lambda kind: (np.bincount(has_col[positive[has_row] == kind], minlength=len(names)) + 0.5) / ((positive == kind).sum() + 1)
-    gain = np.log(rate(True) / rate(False)) * np.sqrt(rate(True))
-    best = np.argsort(-gain, kind="stable")[: limits.features]
-    best = best[(rate(True) >= 1.5 * rate(False))[best]]
-    place = np.full(len(names), -1)
-    place[best] = np.arange(len(best))
-    on = place[cols] >= 0
     log_words = np.log1p(got["n"].to_numpy())
-    w = non_negative_fit(rows[on], place[cols[on]], log_words, positive, len(best), prior)
-    return Model(float(w[-1]), float(w[-2]), {names[j]: float(w[i]) for i, j in enumerate(best) if w[i]})
+    w = non_negative_fit(rows, cols, log_words, positive, len(names), prior)
+    return Model(float(w[-1]), float(w[-2]), {f: float(x) for f, x in zip(names, w, strict=False) if x})
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
