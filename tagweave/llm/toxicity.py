@@ -28,6 +28,8 @@ from tagweave.llm.common import held_out, materialize, prepare
 
 #: Lengths of word beginnings that are features, beside the whole word.
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: Few positives support few features and small weights.
+FEATURES_PER_POSITIVE, DECAY = 16, 0.05
 STRIP = "".join(map(chr, range(33, 65))) + "[\\]^_`{|}~"
 
 
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
         often, else_often = (n + 0.5) / (size[True] + 1), (in_others.get(f, 0) + 0.5) / (size.get(False, 0) + 1)
         if often >= 1.5 * else_often:
             gain[f] = math.log(often / else_often) * math.sqrt(often)
-    names = sorted(gain, key=lambda f: (-gain[f], f))[: limits.features]
+    names = sorted(gain, key=lambda f: (-gain[f], f))[: min(limits.features, FEATURES_PER_POSITIVE * size[True])]
     index = {f: i for i, f in enumerate(names)}
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     lists = got["f"].combine_chunks()
     cols, rows = lists.flatten().to_numpy(), np.repeat(np.arange(len(positive)), np.diff(lists.offsets.to_numpy()))
     log_words = np.log1p(got["n"].to_numpy())
-    w = non_negative_fit(rows, cols, log_words, positive, len(names), prior)
+    w = non_negative_fit(rows, cols, log_words, positive, len(names), prior, decay=DECAY / size[True])
     return Model(float(w[-1]), float(w[-2]), {f: float(x) for f, x in zip(names, w, strict=False) if x})
 
 
