@@ -41,9 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/tagweave-{label}-{uuid.uuid4().hex}"
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
+
+    narrow: the rows are few and short, so they go to fewer files than there are shuffle partitions.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tagweave-{label}-{uuid.uuid4().hex}"
+    if narrow:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -44,15 +44,20 @@ def keyed(docs: DataFrame, seed: str = "", quality: Column | None = None) -> Dat
     )
 
 
-def targets(sized: DataFrame, weights: tuple[int, ...], share: float, most_epochs: int) -> DataFrame:
+def bucket_sums(rows: DataFrame) -> DataFrame:
+    """The words in each bucket of each source; rows as keyed() gives them."""
+    return rows.groupBy("source", "_mix_bucket").agg(F.sum("_mix_size").alias("_size"))
+
+
+def targets(sums: DataFrame, weights: tuple[int, ...], share: float, most_epochs: int) -> DataFrame:
     """A row for each source: its size and target. A capped source's excess goes to the others by weight.
 
     Sources in order of most_epochs * size / weight are capped from the front: with the first m
     capped, the rest share what is left; the first m at which none of the rest is above its cap holds.
     """
     ranked = (
-        sized.groupBy("source")
-        .agg(F.sum("_mix_size").alias("source_size"))
+        sums.groupBy("source")
+        .agg(F.sum("_size").alias("source_size"))
         .withColumn("_at", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
         .withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_at") % len(weights) + 1).cast("int")))
         .withColumn("_cap", most_epochs * F.col("source_size"))
@@ -69,13 +74,12 @@ def targets(sized: DataFrame, weights: tuple[int, ...], share: float, most_epoch
     )
 
 
-def budgets(sized: DataFrame, weights: tuple[int, ...], share: float, most_epochs: int) -> DataFrame:
+def budgets(sums: DataFrame, weights: tuple[int, ...], share: float, most_epochs: int) -> DataFrame:
     """targets() with whole epochs, the words beyond them, and the bucket in which those are reached."""
     goal = F.round("target").cast("long")
-    per_source = targets(sized, weights, share, most_epochs).withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
+    per_source = targets(sums, weights, share, most_epochs).withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
     per_source = per_source.withColumn("_rest", goal - F.col("_epochs") * F.col("source_size"))
     order = Window.partitionBy("source").orderBy("_mix_bucket")
-    sums = sized.groupBy("source", "_mix_bucket").agg(F.sum("_mix_size").alias("_size"))
     sums = sums.withColumn("_upto", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumnRenamed("source", "_source")
     hit = (
         sums.join(per_source, F.col("_source").eqNullSafe(F.col("source")))
@@ -83,17 +87,16 @@ def budgets(sized: DataFrame, weights: tuple[int, ...], share: float, most_epoch
         .select("_source", F.col("_mix_bucket").alias("_cut"), (F.col("_rest") - (F.col("_upto") - F.col("_size"))).alias("_left"))
     )
     found = per_source.join(hit, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return materialize(found.select(F.col("source").alias("_mix_source"), "source_size", "target", "_epochs", F.coalesce("_cut", F.lit(-1)).alias("_cut"), F.coalesce("_left", F.lit(0)).alias("_left")), "budgets")
+    return found.select(F.col("source").alias("_mix_source"), "source_size", "target", "_epochs", F.coalesce("_cut", F.lit(-1)).alias("_cut"), F.coalesce("_left", F.lit(0)).alias("_left"))
 
 
-def mix(docs: DataFrame, sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most_epochs: int = 3) -> DataFrame:
-    """docs, as keyed() gives them, with source_size, target and taken: words that the mix takes, repeats counted.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most_epochs: int = 3) -> DataFrame:
+    """docs, as keyed() gives them (materialized, as they are read three times), with source_size, target and taken: words that the mix takes, repeats counted.
 
-    sized: what sums are taken from; the same rows, of which source and keyed()'s columns are read.
     Clashing columns of docs named source_size, target or taken are replaced.
     """
     docs = docs.drop("source_size", "target", "taken")
-    rows = docs.join(budgets(sized, weights, share, most_epochs), F.col("source").eqNullSafe(F.col("_mix_source")))
+    rows = docs.join(budgets(bucket_sums(docs), weights, share, most_epochs), F.col("source").eqNullSafe(F.col("_mix_source")))
     order = Window.partitionBy("source").orderBy("_mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     at_cut = rows.where(F.col("_mix_bucket") == F.col("_cut")).withColumn("_prior", F.coalesce(F.sum("_mix_size").over(order), F.lit(0)))
     others = rows.where(F.col("_mix_bucket") != F.col("_cut")).withColumn("_prior", F.lit(0).cast("long"))
@@ -105,9 +108,7 @@ def mix(docs: DataFrame, sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3),
 def mixed_documents(docs: DataFrame, seed: str = "", **how) -> DataFrame:
     """The rows of the mix itself: a document as often as it is taken, the last copy cut to the words that are left."""
     names = docs.columns
-    full = keyed(docs, seed)
-    sized = materialize(full.select("doc_id", "source", "_mix_size", "_mix_key", "_mix_bucket"), "sizes")
-    taken = mix(full, sized, **how)
+    taken = mix(materialize(keyed(docs, seed), "keyed"), **how)
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("_mix_size"))))
     copies = taken.where(F.col("taken") > 0).select(*names, "_mix_size", "taken", copy.alias("_copy"))
     words = F.least(F.col("_mix_size"), F.col("taken") - (F.col("_copy") - 1) * F.col("_mix_size"))

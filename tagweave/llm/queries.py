@@ -8,15 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import jaccard, mixing, packing, toxicity
+from tagweave.llm import jaccard, mixing, packing, pii, quality, substrings, toxicity
 from tagweave.llm.common import materialize, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = materialize(mixing.keyed(table(spark, sf_dir, "documents")).select("doc_id", "source", "_mix_size", "_mix_key", "_mix_bucket"), "sizes")
-    mixed = mixing.mix(sized, sized)
+    keyed = mixing.keyed(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(materialize(keyed.select("doc_id", "source", "_mix_size", "_mix_key", "_mix_bucket"), "keyed"))
     return mixed.select("doc_id", F.col("_mix_size").alias("size"), "source_size", "target", "taken")
 
 
@@ -45,6 +45,13 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.with_spans(docs.select("doc_id", "text"), pii.fit(docs))
+    counts = [F.size(F.filter("_base", pii.is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("_spans")).alias("spans"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -54,15 +61,27 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_quality": op7_quality,
     "op9_pack_sequences": op9_pack_sequences,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
