@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import jaccard, mixing, packing, pii, quality, substrings, toxicity
+from tagweave.llm import ann, html_render, jaccard, mixing, packing, pii, quality, spotsigs, substrings, toxicity
 from tagweave.llm.common import materialize, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +45,15 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+def op2_render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.taking_part(table(spark, sf_dir, "embeddings"))
+    return ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.with_spans(docs.select("doc_id", "text"), pii.fit(docs))
@@ -66,6 +75,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spotsigs.with_next(table(spark, sf_dir, "documents"))
+    docs = docs.withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text")))
+    docs = docs.withColumn("edited_signatures", spotsigs.signatures(F.col("edited")))
+    return docs.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spotsigs.printed(F.col("signatures")).alias("fingerprint"),
+        spotsigs.printed(F.col("edited_signatures")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
+        spotsigs.likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
+    )
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -76,10 +100,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_render_html": op2_render_html,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality": op7_quality,
+    "op8_fingerprints": op8_fingerprints,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_substring_dedup": op10_substring_dedup,
 }
