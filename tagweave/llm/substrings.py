@@ -2,7 +2,8 @@
 
 The windows are the suffixes of all texts, of which only the first WINDOW words matter. They are
 partitioned by prefix like the subtrees of a suffix tree, and a subtree is opened only where it
-branches, so a level's nodes are counted by the shuffle and never gathered in one place:
+branches. A level's nodes are counts, combined before they are shuffled; no node's suffixes are ever
+gathered in one place, however many there are:
 
 1. A window's prefix is the one of its SEED-word runs with the least hash. Windows that share it form
    a stretch, of which a text has one in about fourteen words. A prefix that occurs once in all texts
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm import textkit
@@ -169,22 +170,19 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wit
     documents = materialize(text_classes(docs), "text-classes")
     classes = documents.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("_doc"))
 
-    rows = stretches(docs, window, seed).repartition("prefix")
+    rows = materialize(stretches(docs, window, seed), "stretches")
     inner = rows.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
-    alike, under = Window.partitionBy("prefix", "whole"), Window.partitionBy("prefix")
-    opened = (
-        rows.join(inner.hint("shuffle_hash"), "prefix")
-        .withColumn("times", F.count("*").over(alike))
-        .withColumn("nth", F.row_number().over(alike.orderBy("key", "first")))
-        .withColumn("fewest", F.min("times").over(under))
-        .select("key", "first", "last", (F.col("times") > 1).alias("whole"), ((F.col("fewest") == 1) & (F.col("nth") == 1)).alias("opened"))
-    )
-    live = materialize(opened, "stretches")
-
-    to_open = live.where("opened").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("parts"))
-    windows = window_rows(_with_text(docs, to_open.join(classes, "key").select("_doc", "key", "parts")), window)
-    deep = windows.withColumn("times", F.count("*").over(Window.partitionBy("h"))).where("times > 1").select("key", F.col("place").alias("first"), (F.col("place") + window).alias("end"))
-    repeats = live.where("whole").select("key", "first", (F.col("last") + window).alias("end")).union(deep)
+    live = materialize(rows.join(inner, "prefix"), "live")
+    kinds = materialize(live.groupBy("prefix", "whole").agg(F.count("*").alias("times"), F.min(F.struct("key", "first", "last")).alias("one")), "kinds")
+    mixed = kinds.groupBy("prefix").agg(F.min("times").alias("fewest")).where("fewest = 1").select("prefix")
+    opened = kinds.join(mixed, "prefix").select("one.*")
+    alike = live.join(kinds.where("times > 1").select("prefix", "whole"), ["prefix", "whole"]).select("key", "first", (F.col("last") + window).alias("end"))
+
+    to_open = opened.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("parts"))
+    windows = materialize(window_rows(_with_text(docs, to_open.join(classes, "key").select("_doc", "key", "parts")), window), "windows")
+    twice = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    deep = windows.join(twice, "h").select("key", F.col("place").alias("first"), (F.col("place") + window).alias("end"))
+    repeats = alike.union(deep)
 
     parts = repeats.groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("parts"))
     single = classes.where("copies = 1").join(parts, "key").select("_doc", "key", "parts")
