@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagweave.functions import varint
+from tagweave.functions.binding import bind
 
 #: Wire type codes. Fixed values.
 CODES = {
@@ -35,7 +36,7 @@ NUMBERS = {
 
 def swapped(digits: Column, width: int) -> Column:
     """Hexadecimal digits of `width` bytes in the opposite order of bytes."""
-    return F.concat(*(F.substring(digits, F.lit(2 * i + 1), F.lit(2)) for i in reversed(range(width)))) if width > 1 else digits
+    return bind(digits, lambda d: F.concat(*(F.substring(d, F.lit(2 * i + 1), F.lit(2)) for i in reversed(range(width))))) if width > 1 else digits
 
 
 def _bits(value: Column, name: str) -> Column:
@@ -59,8 +60,7 @@ def encode_hex(value: Column, name: str) -> Column:
     if name not in NUMBERS:
         raise ValueError(f"Codec Error: {name} is not a basic value")
     width = NUMBERS[name].width
-    bits = F.lpad(F.hex(_bits(value, name)), 16, "0")
-    return F.when(value.isNotNull(), swapped(F.right(bits, F.lit(2 * width)), width))
+    return bind(F.lpad(F.hex(_bits(value, name)), 16, "0"), lambda bits: swapped(F.right(bits, F.lit(2 * width)), width))
 
 
 def encode(value: Column, name: str) -> Column:
@@ -79,16 +79,18 @@ def decode(data: Column, name: str) -> Column:
     if name == "string":
         return F.try_validate_utf8(data.cast("string"))
     width, kind, spark = NUMBERS[name].width, NUMBERS[name].kind, NUMBERS[name].spark
-    bits = F.conv(swapped(digits, width), 16, -10).cast("long")  # as unsigned, but for eight bytes
+    raw = F.conv(swapped(digits, width), 16, -10).cast("long")  # as unsigned, but for eight bytes
+    return F.when(width_ok(data, name), bind(raw, lambda bits: _of_bits(bits, name, width, kind, spark)))
+
+
+def _of_bits(bits: Column, name: str, width: int, kind: str, spark: str) -> Column:
     if kind == "u":
-        value = varint.unsigned(bits) if width == 8 else bits.cast(spark)
-    elif name == "f64":
-        value = F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
-    else:
-        span = 1 << (8 * width)
-        signed = bits if width == 8 else F.when(bits >= span // 2, bits - span).otherwise(bits)
-        value = F.reflect(F.lit("java.lang.Float"), F.lit("intBitsToFloat"), signed.cast("int")).cast("float") if name == "f32" else signed.cast(spark)
-    return F.when(width_ok(data, name), value)
+        return varint.unsigned(bits) if width == 8 else bits.cast(spark)
+    if name == "f64":
+        return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+    span = 1 << (8 * width)
+    signed = bits if width == 8 else F.when(bits >= span // 2, bits - span).otherwise(bits)
+    return F.reflect(F.lit("java.lang.Float"), F.lit("intBitsToFloat"), signed.cast("int")).cast("float") if name == "f32" else signed.cast(spark)
 
 
 def width_ok(data: Column, name: str) -> Column:

@@ -1,7 +1,6 @@
 """LEB128 numbers as Column expressions: seven bits a byte, least significant first, at most ten bytes.
 
-Everything is unrolled over the ten possible bytes, so it stays within generated code. Numbers are
-unsigned 64-bit: a long stands for its bits, DECIMAL(20,0) holds all values.
+Everything is unrolled over the ten possible bytes of a bound value. Numbers are unsigned 64-bit: a long stands for its bits, DECIMAL(20,0) holds all values.
 """
 
 from __future__ import annotations
@@ -9,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagweave.functions.binding import bind
+
 U64 = "decimal(20,0)"
 _HALF, _WHOLE = "9223372036854775808", "18446744073709551616"
 
@@ -30,15 +31,29 @@ def byte_hex(value: Column) -> Column:
     return F.lpad(F.hex(value), 2, "0")
 
 
-def encode_hex(bits: Column) -> Column:
-    bits = bits.cast("long")
-    out = []
-    for i in range(10):
-        here = F.shiftrightunsigned(bits, 7 * i) if i else bits
-        more = (F.shiftrightunsigned(bits, 7 * (i + 1)) != 0) if i < 9 else F.lit(False)
-        byte = byte_hex(here.bitwiseAND(F.lit(127)) + F.when(more, 128).otherwise(0))
-        out.append(byte if not i else F.when(here != 0, byte).otherwise(""))
-    return F.concat(*out)
+def literal_hex(value: int) -> str:
+    """Hexadecimal digits of a known number's varint."""
+    out = ""
+    while value > 127:
+        out += f"{value & 127 | 128:02X}"
+        value >>= 7
+    return out + f"{value:02X}"
+
+
+def encode_hex(bits: Column | int) -> Column:
+    if isinstance(bits, int):
+        return F.lit(literal_hex(bits))
+
+    def unrolled(x: Column) -> Column:
+        out = []
+        for i in range(10):
+            here = F.shiftrightunsigned(x, 7 * i) if i else x
+            more = (F.shiftrightunsigned(x, 7 * (i + 1)) != 0) if i < 9 else F.lit(False)
+            byte = byte_hex(here.bitwiseAND(F.lit(127)) + F.when(more, 128).otherwise(0))
+            out.append(byte if not i else F.when(here != 0, byte).otherwise(""))
+        return F.when((x >= 0) & (x < 128), byte_hex(x)).otherwise(F.concat(*out))
+
+    return bind(bits.cast("long"), unrolled)
 
 
 def encode(bits: Column) -> Column:
@@ -58,14 +73,21 @@ def decode(data: Column, position: Column | int = 1) -> Column:
     large". Overlong forms are accepted, and bits above 64 are lost.
     """
     at = F.lit(position) if isinstance(position, int) else position
-    digits = F.hex(F.substring(data, at, F.lit(10)))
-    bytes_ = [F.conv(F.substring(digits, F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("long") for i in range(10)]
-    size = F.length(digits) / 2
-    read = F.lit(None).cast("int")
-    for i in reversed(range(10)):
-        read = F.when((size > i) & (bytes_[i] < 128), F.lit(i + 1)).otherwise(read) if i == 9 else F.when(size <= i, F.lit(None).cast("int")).when(bytes_[i] < 128, F.lit(i + 1)).otherwise(read)
-    value = F.lit(0).cast("long")
-    for i in range(10):
-        value = value.bitwiseOR(F.when(F.lit(i) < read, F.shiftleft(bytes_[i].bitwiseAND(F.lit(127)), 7 * i)).otherwise(F.lit(0).cast("long")))
-    error = F.when(read.isNotNull() | data.isNull(), F.lit(None).cast("string")).when(size >= 10, F.lit("Varint value too large")).otherwise(F.lit("Incomplete varint data"))
-    return F.struct(F.when(read.isNotNull(), value).alias("bits"), read.alias("read"), error.alias("error"))
+
+    def measured(digits: Column) -> Column:
+        last = F.lit(None).cast("int")
+        for i in reversed(range(10)):
+            byte = F.substring(digits, F.lit(2 * i + 1), F.lit(1))
+            last = F.when(F.length(digits) <= 2 * i, F.lit(None).cast("int")).when(byte < "8", F.lit(i + 1)).otherwise(last)
+        return F.struct(digits.alias("digits"), last.alias("read"))
+
+    def valued(x: Column) -> Column:
+        digits, read = x["digits"], x["read"]
+        value = F.lit(0).cast("long")
+        for i in range(10):
+            byte = F.conv(F.substring(digits, F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("long")
+            value = value.bitwiseOR(F.when(F.lit(i) < read, F.shiftleft(byte.bitwiseAND(F.lit(127)), 7 * i)).otherwise(F.lit(0).cast("long")))
+        error = F.when(read.isNotNull() | digits.isNull(), F.lit(None).cast("string")).when(F.length(digits) >= 20, F.lit("Varint value too large")).otherwise(F.lit("Incomplete varint data"))
+        return F.struct(F.when(read.isNotNull(), value).alias("bits"), read.alias("read"), error.alias("error"))
+
+    return bind(bind(F.hex(F.substring(data, at, F.lit(10))), measured), valued)

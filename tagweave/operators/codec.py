@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions import scalars, varint
+from tagweave.functions.binding import bind
 from tagweave.functions.scalars import CODES, NAMES, NUMBERS
 
 #: Bytes and strings longer than this are cut to shards of this size.
@@ -44,22 +45,27 @@ class CodecError(ValueError):
 # -- encoding --------------------------------------------------------------------------------------
 
 
-def item_hex(tag: Column, code: int, value_hex: Column) -> Column:
-    return F.concat(varint.encode_hex(tag), F.lit(f"{code:02X}"), varint.encode_hex((F.length(value_hex) / 2).cast("long")), value_hex)
+def item_hex(tag: Column | int, code: int, value_hex: Column) -> Column:
+    if isinstance(tag, int):
+        return bind(value_hex, lambda v: F.concat(F.lit(f"{varint.literal_hex(tag)}{code:02X}"), varint.encode_hex((F.length(v) / 2).cast("long")), v))
+    both = F.struct(varint.encode_hex(tag).alias("tag"), value_hex.alias("value"))
+    return bind(both, lambda b: F.concat(b["tag"], F.lit(f"{code:02X}"), varint.encode_hex((F.length(b["value"]) / 2).cast("long")), b["value"]))
 
 
 def encode_item(tag: Column | int, name: str, value: Column, sharded: bool = True) -> Column:
     """BINARY item of a scalar. Bytes and strings longer than LARGE are a header item that holds the length, and shard items."""
-    tag = F.lit(tag).cast("long") if isinstance(tag, int) else tag
     digits = scalars.encode_hex(value, name)
     return F.unhex(_large(tag, CODES[name], digits) if sharded and name in ("bytes", "string") else item_hex(tag, CODES[name], digits))
 
 
-def _large(tag: Column, code: int, digits: Column) -> Column:
-    size = (F.length(digits) / 2).cast("long")
-    header = item_hex(tag, code, scalars.encode_hex(size, "u64"))
-    shards = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2 * LARGE)), lambda i: item_hex(tag, code, F.substring(digits, i, F.lit(2 * LARGE))))
-    return F.when(size > LARGE, F.concat(header, F.array_join(shards, ""))).otherwise(item_hex(tag, code, digits))
+def _large(tag: Column | int, code: int, digits: Column) -> Column:
+    def cut(v: Column) -> Column:
+        size = (F.length(v) / 2).cast("long")
+        header = item_hex(tag, code, scalars.encode_hex(size, "u64"))
+        shards = F.transform(F.regexp_extract_all(v, F.lit(f".{{1,{2 * LARGE}}}"), F.lit(0)), lambda s: item_hex(tag, code, s))
+        return F.when(size > LARGE, F.concat(header, F.array_join(shards, ""))).otherwise(item_hex(tag, code, v))
+
+    return bind(digits, cut)
 
 
 def encode_typeless(tag: Column, value: Column) -> Column:
@@ -87,11 +93,11 @@ def tag_of(f: T.StructField, place: int) -> int:
 
 def _value_hex(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StructType):
-        return F.concat(F.lit(""), *(_field_hex(F.lit(tag_of(f, i)).cast("long"), value[f.name], f.dataType) for i, f in enumerate(kind.fields)))
+        return F.concat(F.lit(""), *(_field_hex(tag_of(f, i), value[f.name], f.dataType) for i, f in enumerate(kind.fields)))
     if isinstance(kind, T.ArrayType):
         return F.array_join(F.transform(value, lambda x, i: _field_hex(i.cast("long"), x, kind.elementType)), "")
     if isinstance(kind, T.MapType):
-        entry = lambda e: F.concat(_field_hex(F.lit(0).cast("long"), e["key"], kind.keyType), _field_hex(F.lit(1).cast("long"), e["value"], kind.valueType))
+        entry = lambda e: F.concat(_field_hex(0, e["key"], kind.keyType), _field_hex(1, e["value"], kind.valueType))
         return F.array_join(F.transform(F.map_entries(value), lambda e, i: item_hex(i.cast("long"), CODES["object"], entry(e))), "")
     if isinstance(kind, T.TimestampType):
         return scalars.encode_hex(F.unix_micros(value), "i64")
@@ -102,7 +108,7 @@ def _value_hex(value: Column, kind: T.DataType) -> Column:
     return scalars.encode_hex(value, wire_name(kind))
 
 
-def _field_hex(tag: Column, value: Column, kind: T.DataType) -> Column:
+def _field_hex(tag: Column | int, value: Column, kind: T.DataType) -> Column:
     """A null value is an item of type null."""
     code, digits = CODES[wire_name(kind)], _value_hex(value, kind)
     whole = _large(tag, code, digits) if isinstance(kind, T.StringType | T.BinaryType) else item_hex(tag, code, digits)
@@ -111,7 +117,7 @@ def _field_hex(tag: Column, value: Column, kind: T.DataType) -> Column:
 
 def encode_value(value: Column, kind: T.DataType, tag: Column | int = 0) -> Column:
     """BINARY item of a value of any Spark type: structs, arrays and maps nest."""
-    return F.unhex(_field_hex(F.lit(tag).cast("long") if isinstance(tag, int) else tag, value, kind))
+    return F.unhex(_field_hex(tag, value, kind))
 
 
 def encode_rows(schema: T.StructType, tag: int = 0) -> Column:
@@ -338,7 +344,7 @@ def decode_value(data: Column, kind: T.DataType, mode: str = "logical", strict:
     """The first item of BINARY as a Spark type. on_error: "fail", or "null" for bytes that can't be read."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow = to_arrow_type(kind, timezone="UTC")
+    arrow = to_arrow_type(kind)
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -438,3 +444,34 @@ def decode_blocks(data: Column) -> Column:
             yield pa.array(rows, kind)
 
     return run(data)
+
+
+# -- encoding of item trees ------------------------------------------------------------------------
+
+
+def write_varint(value: int) -> bytes:
+    out = bytearray()
+    while value > 127:
+        out.append(value & 127 | 128)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def write_item(item: Item) -> bytes:
+    """The bytes of an item tree, children first; nesting may be of any depth."""
+    done: dict[int, bytes] = {}
+    stack = [(item, False)]
+    while stack:
+        at, ready = stack.pop()
+        if at.name in ("array", "object") and not ready:
+            stack.append((at, True))
+            stack.extend((c, False) for c in at.items)
+            continue
+        value = b"".join(done.pop(id(c)) for c in at.items) if ready else _value_bytes(at) or b""
+        head = write_varint(at.tag) + bytes([CODES[at.name]])
+        if at.name in ("bytes", "string") and len(value) > LARGE:
+            parts = [len(value).to_bytes(8, "little"), *(value[i : i + LARGE] for i in range(0, len(value), LARGE))]
+            done[id(at)] = b"".join(head + write_varint(len(p)) + p for p in parts)
+        else:
+            done[id(at)] = head + write_varint(len(value)) + value
+    return done[id(item)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagweave.functions import scalars, varint
+from tagweave.functions.binding import bind
 from tagweave.functions.blake3 import blake3
 
 RAW, COMPRESSED, ENCRYPTED = 0, 1, 2
@@ -22,22 +23,24 @@ def encode_header(schema_id: Column, timestamp: Column, shard_id: Column, flow_f
 def decode_header(data: Column) -> Column:
     """struct<schema_id, timestamp, shard_id, flow_flags, body_type, read, error> of the header that BINARY begins with."""
 
-    def bound(value: Column, body) -> Column:
-        return F.transform(F.array(value), body)[0]
+    def then(names: list[str]):
+        """The struct so far and the varint after it."""
+        return lambda x: F.struct(*(x[n].alias(n) for n in names), varint.decode(data, F.coalesce(sum_of(x, names), F.lit(0)) + 1).alias("abc"[len(names)]))
 
-    def finish(a: Column, b: Column, c: Column) -> Column:
-        at = a["read"] + b["read"] + c["read"]
+    def sum_of(x: Column, names: list[str]) -> Column:
+        return sum((x[n]["read"] for n in names[1:]), x[names[0]]["read"])
+
+    def finished(x: Column) -> Column:
+        at, size = sum_of(x, ["a", "b", "c"]), F.octet_length(data)
         flags = scalars.decode(F.substring(data, at + 1, F.lit(4)), "u32")
         kind = varint.byte_at(data, at + 5)
-        size = F.octet_length(data)
-        error = (
-            F.coalesce(a["error"], b["error"], c["error"])
-        )
-        error = F.when(error.isNotNull(), error).when(size < at + 4, F.lit("Incomplete data for flow_flags")).when(size < at + 5, F.lit("Incomplete data for body_type")).when(kind > 2, F.concat(F.lit("Unknown DataBodyType value: "), kind.cast("string")))
-        return F.struct(a["bits"].alias("schema_id"), b["bits"].alias("timestamp"), c["bits"].alias("shard_id"), flags.alias("flow_flags"), kind.cast("int").alias("body_type"), (at + 5).alias("read"), error.alias("error"))
+        unknown = F.when(kind > 2, F.concat(F.lit("Unknown DataBodyType value: "), kind.cast("string")))
+        error = F.coalesce(x["a"]["error"], x["b"]["error"], x["c"]["error"], F.when(size < at + 4, F.lit("Incomplete data for flow_flags")), F.when(size < at + 5, F.lit("Incomplete data for body_type")), unknown)
+        numbers = [x[n]["bits"].alias(name) for n, name in zip("abc", ("schema_id", "timestamp", "shard_id"), strict=True)]
+        return F.struct(*numbers, flags.alias("flow_flags"), kind.cast("int").alias("body_type"), (at + 5).alias("read"), error.alias("error"))
 
-    first = varint.decode(data)
-    return bound(first, lambda a: bound(varint.decode(data, F.coalesce(a["read"], F.lit(0)) + 1), lambda b: bound(varint.decode(data, F.coalesce(a["read"] + b["read"], F.lit(0)) + 1), lambda c: finish(a, b, c))))
+    first = F.struct(varint.decode(data).alias("a"))
+    return bind(bind(bind(first, then(["a"])), then(["a", "b"])), finished)
 
 
 def strategy_of(flow_flags: Column) -> Column:
@@ -65,7 +68,7 @@ def parse(data: Column) -> Column:
         cut = F.when(size - h["read"] < CHECKSUM, F.lit("Incomplete data for Checksum"))
         return F.struct(h.alias("header"), F.substring(data, h["read"] + 1, size - CHECKSUM - h["read"]).alias("body"), F.substring(data, size - CHECKSUM + 1, F.lit(CHECKSUM)).alias("checksum"), F.coalesce(h["error"], cut).alias("error"))
 
-    return F.transform(F.array(header), opened)[0]
+    return bind(header, opened)
 
 
 def verified(df, packet: str):
