@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tagweave.functions import scalars, varint
 from tagweave.functions.binding import bind
-from tagweave.functions.blake3 import blake3
+from tagweave.functions.blake3 import blake3, digests
+from tagweave.operators import codec
 
 RAW, COMPRESSED, ENCRYPTED = 0, 1, 2
 STRATEGIES = {"none": 0, "zstd": 1, "brotli": 3}
@@ -59,23 +65,61 @@ def build(schema_id: Column, timestamp: Column, shard_id: Column, flow_flags: Co
     return F.concat(signed, blake3(signed))
 
 
-def parse(data: Column) -> Column:
-    """struct<header, body, error>. The checksum is over the header as it would be encoded anew, and the body."""
-    header = decode_header(data)
-
-    def opened(h: Column) -> Column:
-        size = F.octet_length(data)
-        cut = F.when(size - h["read"] < CHECKSUM, F.lit("Incomplete data for Checksum"))
-        return F.struct(h.alias("header"), F.substring(data, h["read"] + 1, size - CHECKSUM - h["read"]).alias("body"), F.substring(data, size - CHECKSUM + 1, F.lit(CHECKSUM)).alias("checksum"), F.coalesce(h["error"], cut).alias("error"))
-
-    return bind(header, opened)
-
-
-def verified(df, packet: str):
-    """df with packet's header fields, body and error in place of parse()'s struct; checks the checksum."""
-    df = df.withColumn("_p", parse(F.col(packet)))
-    h = lambda name: F.col(f"_p.header.{name}")
-    signed = F.concat(encode_header(h("schema_id"), h("timestamp"), h("shard_id"), h("flow_flags"), h("body_type")), F.col("_p.body"))
-    df = df.withColumn("_sum", blake3(F.when(F.col("_p.error").isNull(), signed)))
-    error = F.coalesce(F.col("_p.error"), F.when(F.col("_sum") != F.col("_p.checksum"), F.lit("Checksum verification failed")))
-    return df.select("*", h("schema_id").alias("schema_id"), h("timestamp").alias("timestamp"), h("shard_id").alias("shard_id"), h("flow_flags").alias("flow_flags"), h("body_type").alias("body_type"), F.when(error.isNull(), F.col("_p.body")).alias("body"), error.alias("error")).drop("_p", "_sum")
+_CHECKED = T.StructType(
+    [
+        *(T.StructField(n, T.LongType()) for n in ("schema_id", "timestamp", "shard_id", "flow_flags")),
+        T.StructField("body_type", T.IntegerType()),
+        T.StructField("body", T.BinaryType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+
+def read_packet(data: bytes) -> tuple[tuple[int, int, int, int, int], bytes, bytes, bytes]:
+    """Header fields, the header as it would be encoded anew, body and checksum."""
+    numbers, at = [], 0
+    for _ in range(3):
+        value, at = codec.read_varint(data, at)
+        numbers.append(value)
+    for name, size in (("flow_flags", 4), ("body_type", 1)):
+        if len(data) < at + size:
+            raise codec.CodecError(f"Incomplete data for {name}")
+        numbers.append(int.from_bytes(data[at : at + size], "little"))
+        at += size
+    if numbers[4] > ENCRYPTED:
+        raise codec.CodecError(f"Unknown DataBodyType value: {numbers[4]}")
+    if len(data) - at < CHECKSUM:
+        raise codec.CodecError("Incomplete data for Checksum")
+    head = b"".join(map(codec.write_varint, numbers[:3])) + numbers[3].to_bytes(4, "little") + bytes([numbers[4]])
+    return tuple(numbers), head, data[at : len(data) - CHECKSUM], data[len(data) - CHECKSUM :]
+
+
+def _verify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    for batch in batches:
+        rows: list[dict | None] = []
+        open_: list[tuple[int, bytes, bytes]] = []
+        for raw in batch.to_pylist():
+            row = None if raw is None else dict.fromkeys(_CHECKED.names)
+            if raw is not None:
+                try:
+                    fields, head, body, checksum = read_packet(raw)
+                    row |= dict(zip(_CHECKED.names, [*map(signed, fields[:3]), *fields[3:], body], strict=False))
+                    open_.append((len(rows), head + body, checksum))
+                except codec.CodecError as e:
+                    row["error"] = str(e).removeprefix("Codec Error: ")
+            rows.append(row)
+        for (i, _, checksum), digest in zip(open_, digests([x for _, x, _ in open_]), strict=True):
+            if digest != checksum:
+                rows[i] |= {"error": "Checksum verification failed", "body": None}
+        yield pa.array(rows, to_arrow_type(_CHECKED))
+
+
+def check(data: Column) -> Column:
+    """struct<schema_id, timestamp, shard_id, flow_flags, body_type, body, error> of a packet. The checksum is over the header as it would be encoded anew, and the body."""
+    return F.arrow_udf(_verify, _CHECKED)(data)
+
+
+def verified(df: DataFrame, packet: str) -> DataFrame:
+    """df with the fields of check() as columns."""
+    return df.withColumn("_checked", check(F.col(packet))).select("*", "_checked.*").drop("_checked")
