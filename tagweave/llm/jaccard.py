@@ -3,14 +3,16 @@
 A document's set holds the hashes of its distinct word shingles. Sets of similar size share a size
 band; every set takes part in its own band and the next, so that all pairs whose sizes allow the
 wanted similarity meet in the band of the larger. There the similarity bounds the sets' symmetric
-difference by k. The shingle domain is hashed to k + 1 + spare parts: two such sets agree on more than
-`spare` whole parts, and each part's content is one signature. Parts without a shingle give none; a
-set with more than `spare` of those also emits the first shingles of its sorted set (prefix filter),
-by which two such sets meet. So no linked pair is missed.
+difference by k. The shingle domain is hashed to more than k parts, so two such sets agree on some
+whole parts, and each part's content is one signature. Parts of fewer than `thick` shingles give none,
+since texts that share a passage alone would agree on those. A set with so many of them that all
+parts agreed on could be such also emits the first shingles of its sorted set (prefix filter), by
+which two such sets meet. So no linked pair is missed.
 
 Sets that are equal are one class from the start, so copies cost nothing. Pairs with a common
-signature are checked exactly on the sets: first the smallest member of every signature's group with
-each other member, which is linear; then, once those links have been closed to components, only pairs
+signature are checked exactly on the sets: first, in every signature's group, the member that meets
+most others anywhere with each other member, which is linear and links copies to what they were
+copied from; then, once those links have been closed to components, only pairs
 that are still in different components and whose parity sketches allow the similarity.
 
 Null or empty texts have no set, size 0, and are a component of their own. A text with fewer words
@@ -32,7 +34,11 @@ from pyspark.sql import functions as F
 from tagweave.llm import textkit
 from tagweave.llm.common import materialize, prepare
 
-SKETCH = ["s0", "s1", "s2", "s3"]
+#: Rows of two or three numbers that are broadcast at most (some 50 MB in memory).
+MOST_BROADCAST = 1_000_000
+_NO_ID = -(2**63)
+SKETCH = [f"s{i}" for i in range(16)]
+WIDE = 4096
 
 
 class Bands:
@@ -45,10 +51,15 @@ class Bands:
             lows.append(low)
             highs.append(low * den // num)
             low = highs[-1] + 1
-        self.low, high = np.array(lows), np.array(highs)
-        self.differing = 2 * high * (den - num) // (den + num)
-        self.spare = 1 + self.differing // 100
-        self.parts = self.differing + 1 + self.spare
+        self.low, self.high = np.array(lows), np.array(highs)
+        self.differing = self.most_differing(self.high, self.high)
+        k = self.differing + 1
+        self.thick = np.select([k > 16, k > 6], [3, 2], 1)
+        self.parts = k + np.select([k > 16, k > 6], [4 + k // 8, 2 + k // 16], 1)
+
+    def most_differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The largest symmetric difference of similar sets of sizes a and b."""
+        return (self.den - self.num) * (a + b) // (self.den + self.num)
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, size, "right") - 1
@@ -92,13 +103,14 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         slot = base[doc] + ((scattered >> np.uint64(32)) % parts[doc].astype(np.uint64)).astype(np.int64)
         content = np.zeros(base[-1], np.uint64)
         np.add.at(content, slot, scattered)
-        held = np.bincount(slot, minlength=base[-1]) > 0
         owner = np.repeat(np.arange(len(sets)), parts)
+        held = np.bincount(slot, minlength=base[-1]) >= bands.thick[band[owner]]
         number = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
         sigs.append(textkit.mixed(content + textkit.mixed(number ^ salt[owner]))[held])
         owners.append(owner[held])
         missing = np.bincount(owner[~held], minlength=len(sets))
-        for i in np.flatnonzero(missing > bands.spare[band]):
+        partner = np.minimum(bands.high[band], size * bands.den // bands.num)
+        for i in np.flatnonzero((parts > 0) & (missing >= parts - bands.most_differing(size, partner))):
             first = sets[i][: size[i] + (-size[i] * bands.num // bands.den) + 1]
             sigs.append(textkit.mixed(first + salt[i]))
             owners.append(np.full(len(first), i))
@@ -107,59 +119,73 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return np.concatenate(sigs), np.concatenate(owners)
 
 
-def _over_texts(docs: DataFrame, make, schema: str) -> DataFrame:
-    """make(ids, texts as bytes) gives the columns of a batch, for blocks of documents."""
+def _over_texts(docs: DataFrame, make, schema: str, *more: str) -> DataFrame:
+    """make(state, texts as bytes, ids, *more columns) gives a batch's columns, for blocks of documents; state lives as long as a task."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = (x.as_py() for x in batch.column(1))
-            for ids, block in textkit.blocks(batch.column(0).to_pylist(), texts):
-                yield pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in make(ids, block).values()], names=names)
+        state: dict = {}
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), *(b.column(2 + i).to_pylist() for i in range(len(more))), strict=True))
+            for block, texts in textkit.blocks(keys, (x.as_py() for x in b.column(1))):
+                columns = make(state, texts, *zip(*block, strict=True))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
-    names = [x.split()[0] for x in schema.split(", ")]
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, schema)
+
+
+def sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Each bit's parity among the shingles that hash to it, 64 bits a number. Two sets' sketches differ in no more bits than the sets in shingles."""
+    odd = [np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64) for s in sets]
+    return np.array(odd, np.int64).reshape(-1, bits // 64)
 
 
 def classes_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, set size and set fingerprint (0: no set) of each document."""
+    """doc_id, set size, set fingerprint (0: no set) and sketch of each document."""
 
-    def make(ids, texts):
+    def make(state, texts, ids):
         sets = shingle_sets(texts, n)
-        return {"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array([fingerprint(s) for s in sets], pa.int64())}
+        sketch = sketches(sets, 64 * len(SKETCH))
+        return [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), *(sketch[:, i] for i in range(len(SKETCH)))]
 
-    return _over_texts(docs, make, "doc_id long, n_shingles long, fp long")
+    return _over_texts(docs, make, "doc_id long, n_shingles long, fp long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """sig and fp. A task gives each class of equal sets once, however many copies it reads."""
     bands = Bands(num, den)
 
-    def make(ids, texts):
-        sets = shingle_sets(texts, n)
-        sigs, owners = signatures(sets, bands)
-        fps = np.array([fingerprint(s) for s in sets], np.int64)
-        return {"sig": sigs.view(np.int64), "fp": fps[owners]}
+    def make(state, texts, ids):
+        seen = state.setdefault("seen", set())
+        fresh = {}
+        for s in shingle_sets(texts, n):
+            if (fp := fingerprint(s)) not in seen:
+                seen.add(fp)
+                fresh[fp] = s
+        if not fresh:
+            return [np.empty(0, np.int64), np.empty(0, np.int64)]
+        sigs, owners = signatures(list(fresh.values()), bands)
+        return [sigs.view(np.int64), np.array(list(fresh), np.int64)[owners]]
 
     return _over_texts(docs, make, "sig long, fp long")
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """fp, size, sketch and the set itself. The sketch is each bit's parity among the shingles that hash to it."""
+def sets_of(docs: DataFrame, members: DataFrame, n: int, wide: bool = False) -> DataFrame:
+    """fp, size n and set of members (fp, _who), from the text of document _who; or, if wide, a sketch of WIDE bits for the set."""
+    texts = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_who"))
 
-    def make(ids, texts):
-        sets = [s for s in shingle_sets(texts, n) if len(s)]
-        odd = [np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64) for s in sets]
-        sketch = np.array(odd, np.int64).reshape(-1, 4)
-        columns = {"fp": pa.array([fingerprint(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64())}
-        columns |= {f"s{i}": pa.array(sketch[:, i]) for i in range(4)}
-        return columns | {"shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+    def make(state, texts, ids, expected):
+        found = [(fp, s) for fp, s in zip(expected, shingle_sets(texts, n), strict=True) if fingerprint(s) == fp]
+        given = sketches([s for _, s in found], WIDE) if wide else [s.view(np.int64) for _, s in found]
+        return [pa.array([fp for fp, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array(list(given), pa.list_(pa.int64()))]
 
-    return _over_texts(docs, make, "fp long, n long, s0 long, s1 long, s2 long, s3 long, shingles array<long>")
+    return _over_texts(texts.join(few(members.select("_who", "fp")), "_who"), make, "fp long, n long, shingles array<long>", "fp")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node) for each node of edges (a, b), by alternating large and small stars."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges", narrow=True)
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -168,19 +194,40 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         joined = large.join(lowest, F.col("a") == F.col("u"))
         small = joined.select("a", F.col("m").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = materialize(small.where("a != b").distinct(), "edges")
+        edges = materialize(small.where("a != b").distinct(), "edges", narrow=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.col("na") + F.col("nb") - both)).select("a", "b")
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few enough rows of a few numbers; else Spark shuffles."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def _compared(pairs: DataFrame, lists: DataFrame, good) -> DataFrame:
+    """The pairs (a, b) for which good(size of a, of b, list of a, of b) holds."""
+    left = lists.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("la"))
+    right = lists.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("lb"))
+    return pairs.join(left, "a").join(right, "b").where(good(F.col("na"), F.col("nb"), F.col("la"), F.col("lb"))).select("a", "b")
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, members: DataFrame, wide: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough: first by wide sketches, then exactly."""
+
+    def by_sketch(na, nb, la, lb):
+        bits = F.aggregate(F.zip_with(la, lb, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+        return bits * (den + num) <= (den - num) * (na + nb)
+
+    def by_set(na, nb, la, lb):
+        both = F.size(F.array_intersect(la, lb))
+        return den * both >= num * (na + nb - both)
+
+    likely = materialize(_compared(pairs, wide, by_sketch), "likely", narrow=True)
+    needed = likely.select(F.col("a").alias("fp")).union(likely.select(F.col("b").alias("fp"))).distinct()
+    needed = materialize(members.select("fp", "_who").join(needed, "fp", "left_semi"), "needed", narrow=True)
+    return _compared(likely, materialize(sets_of(docs, needed, n), "sets"), by_set)
 
 
 def _similar_sketches(num: int, den: int):
@@ -199,23 +246,33 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[
     """
     documents = materialize(classes_of(docs, n), "classes")
     rows = signature_rows(docs, n, num, den).repartition("sig")
-    shared = rows.groupBy("sig").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high").select("sig", "low")
-    met = materialize(rows.join(shared.hint("shuffle_hash"), "sig").select("sig", "fp", "low").distinct(), "met")
-    involved = met.select("fp").distinct()
-    who = documents.join(involved, "fp").groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("_who"))
-    texts = docs.select("doc_id", "text").join(who.select("_who").distinct(), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("_who"), "left_semi")
-    sets = materialize(sets_of(texts, n).join(involved, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
-    stars = materialize(met.where("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct(), "stars")
-    first = materialize(_checked(stars, sets, num, den), "links")
+    shared = rows.groupBy("sig").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high").select("sig")
+    every = materialize(rows.join(shared.hint("shuffle_hash"), "sig").select("sig", "fp").distinct(), "every")
+    # Of signatures that the same classes have, one stands for all.
+    held = every.groupBy("sig").agg(F.bit_xor(F.xxhash64("fp")).alias("who"), F.sum(F.xxhash64("fp", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"))
+    met = materialize(every.join(held.groupBy("who", "sum", "n").agg(F.min("sig").alias("sig")), "sig").select("sig", "fp"), "met")
+
+    who = F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("_who")
+    classes = documents.where("fp != 0").groupBy("fp").agg(who, F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in SKETCH))
+    members = materialize(classes.join(met.select("fp").distinct(), "fp", "left_semi"), "members", narrow=True)
+    wide = materialize(sets_of(docs, members, n, wide=True), "wide")
+
+    described = members.select("fp", "n", *SKETCH)
+    meets = met.join(met.groupBy("sig").agg(F.count("*").alias("met")), "sig").groupBy("fp").agg(F.sum("met").alias("meets"))
+    hubs = met.join(meets, "fp").groupBy("sig").agg(F.max(F.struct("meets", "fp"))["fp"].alias("hub"))
+    ends = met.join(hubs, "sig").where("fp != hub").select("hub", "fp").distinct().alias("p")
+    stars = ends.join(described.alias("x"), F.col("p.hub") == F.col("x.fp")).join(described.alias("y"), F.col("p.fp") == F.col("y.fp"))
+    stars = materialize(stars.where(_similar_sketches(num, den)).select(F.col("p.hub").alias("a"), F.col("p.fp").alias("b")), "stars", narrow=True)
+    first = materialize(_checked(stars, docs, members, wide, n, num, den), "links", narrow=True)
+
     roots = components(first)
-    small = sets.drop("shingles").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = met.join(small, "fp").select("sig", "fp", "n", "root", *SKETCH)
+    placed = met.join(described, "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = placed.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("sig")
-    open_ = materialize(placed.join(mixed, "sig", "left_semi"), "open")
+    opened = materialize(placed.join(mixed, "sig", "left_semi").select("sig", "fp", "n", "root", *SKETCH), "opened")
     across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & _similar_sketches(num, den)
-    pairs = open_.alias("x").join(open_.alias("y"), across).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    rest = _checked(pairs.join(stars, ["a", "b"], "left_anti"), sets, num, den)
-    return documents, materialize(first.union(rest), "links")
+    pairs = opened.alias("x").join(opened.alias("y"), across).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "pairs", narrow=True)
+    return documents, materialize(first.union(_checked(pairs, docs, members, wide, n, num, den)), "links", narrow=True)
 
 
 def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -224,7 +281,7 @@ def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     roots = components(links)
     lowest = documents.where("fp != 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"))
     classes = lowest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    found = materialize(classes, "roots")
+    found = materialize(classes, "roots", narrow=True)
     tops = found.groupBy("root").agg(F.min("class_id").alias("component_id"))
     of_class = found.join(tops, "root").select("fp", "class_id", "component_id")
     out = documents.join(of_class, "fp", "left")
@@ -233,7 +290,11 @@ def join_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, and those without words; of repeated rows, one."""
+    """The documents that have the smallest doc_id of their component, and those without words.
+
+    Rows with the same doc_id count as one document. Rows without a doc_id can't be told apart and stay.
+    """
     found = join_components(docs, n, num, den)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where(F.col("doc_id").isNotNull())
+    return named.join(kept, named["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
