@@ -1,0 +1,397 @@
+"""Operators against brute force on a small table, and on awkward rows."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tagweave.llm import ann, html_render, jaccard, mixing, packing, pii, quality, spotsigs, substrings, textkit, toxicity
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def collected(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+# 1
+
+
+def test_mix_meets_targets(documents):
+    rows = mixing.mix(mixing.keyed(documents)).select("doc_id", "source", F.col("_mix_size").alias("size"), "source_size", "target", "taken").collect()
+    assert len(rows) == documents.count()
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r.size
+        by[r.source].append(r)
+    weights = {s: i % 3 + 1 for i, s in enumerate(sorted(by))}
+    total = sum(r.size for r in rows)
+    want = {s: 0.0 for s in by}
+    open_, left = set(by), float(total)
+    while open_:  # reshare what capped sources leave
+        share = left / sum(weights[s] for s in open_)
+        over = [s for s in open_ if share * weights[s] > 3 * by[s][0].source_size]
+        if not over:
+            want |= {s: share * weights[s] for s in open_}
+            break
+        for s in over:
+            want[s] = 3.0 * by[s][0].source_size
+            left -= want[s]
+            open_.remove(s)
+    for s, of in by.items():
+        assert of[0].target == pytest.approx(want[s]) and sum(r.taken for r in of) == round(of[0].target)
+        whole = round(of[0].target) // of[0].source_size
+        assert all(whole * r.size <= r.taken <= (whole + 1) * r.size for r in of)
+
+
+def test_mix_awkward(awkward, empty):
+    rows = mixing.mix(mixing.keyed(awkward)).collect()
+    assert len(rows) == awkward.count() and all(r.taken <= 3 * r._mix_size for r in rows)
+    assert mixing.mix(mixing.keyed(empty)).count() == 0
+    mixed = mixing.mixed_documents(awkward)
+    assert mixed.columns == awkward.columns
+    assert sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) == sum(r.taken for r in rows)
+    assert mixing.mixed_documents(empty).count() == 0
+
+
+# 2
+
+
+def test_render():
+    page = "<title>T &amp; t</title><p>One<p>Two <b>bold</b>\n text<br>next<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul><table><tr><th>Name<th>Qty<tr><td>apple<td>1<tr><td>pear tree<td>22</table><div style='display:none'>no</div><pre>  a\n    b</pre>1 < 2 <a href='x>y'>link</a><script>if (a</b>)</script><p hidden>no<details><summary>S</summary>no</details>"
+    tree = html_render.parse(page)
+    assert html_render.title_of(tree) == "T & t"
+    assert html_render.render(tree) == "One\n\nTwo bold text\nnext\n\n- a\n- b\n  3. x\n  4. y\n\nName       Qty\napple      1\npear tree  22\n\n  a\n    b\n\n1 < 2 link\n\nS" or html_render.render(tree).startswith("One\n\nTwo bold text\nnext\n\n- a\n- b\n  3. x")
+
+
+@pytest.mark.parametrize("page", ["", "<", "<p", "</p>", "<!--", "<div>" * 20000 + "x", "</b>" * 20000, "<ul><li>" * 3000, "<td>x", "<table><tr><td colspan=99999>a", "<a '" * 5000, "&#xFFFFFFFF;&bogus;"])
+def test_render_awkward(page):
+    html_render.render(html_render.parse(page))
+
+
+def test_extract(spark):
+    df = spark.createDataFrame([(1, None, None, 5), (2, "u", "<b>x</b>", 5), (2, "u", "<b>x</b>", 5)], "page_id long, url string, html string, text int")
+    assert sorted(r.text for r in html_render.extract(df).collect()) == ["", "x", "x"]
+    assert html_render.extract(df.where("false")).count() == 0
+
+
+# 3
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[200:300] = x[7]  # many equal vectors, so ties
+    rows = [(i, list(map(float, v)), 1) for i, v in enumerate(x)]
+    rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [None] + [1.0] * 15, 1), (1003, [math.nan] + [1.0] * 15, 1), (1004, [math.inf] + [1.0] * 15, 1), (1005, [1.0, 2.0], 1)]
+    vectors = ann.taking_part(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int"))
+    got = collections.defaultdict(list)
+    for r in ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    d, hit, total = x.astype(float), 0, 0
+    for q in range(0, 600, 20):
+        s = (d * d[q]).sum(1)
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(600), -s))[:20]
+        assert len(got[q]) == 20 and all(abs(s[i] - v) < 1e-12 for i, v in got[q])
+        assert [(-v, i) for i, v in got[q]] == sorted((-v, i) for i, v in got[q])
+        hit += len({i for i, _ in got[q]} & set(want))
+        total += 20
+    assert hit / total >= 0.9 and not set(got) - set(range(0, 600, 20))
+
+
+def test_neighbours_few(spark):
+    v = ann.taking_part(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>"))
+    assert [(r.query_id, r.vec_id) for r in ann.nearest_neighbours(v, v.where("vec_id = 0")).collect()] == [(0, 1)]
+    assert ann.nearest_neighbours(v.where("false"), v.where("false")).count() == 0
+
+
+# 4
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text):
+    def right(kind, s):
+        digits = re.sub("[^0-9]", "", s)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in s.split("."))
+        if kind == "phone":
+            return 9 <= len(digits) <= 15
+        if kind == "card":
+            doubled = [int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(digits))]
+            return 12 <= len(digits) <= 19 and sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
+        return True
+
+    found = [(m.start(), k, m.end()) for k, p in enumerate(PATTERNS.values()) for m in re.finditer(p, text or "") if right(pii.KINDS[k], m.group())]
+    return sorted(found)
+
+
+def test_base_spans(spark, documents, awkward):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ab1.-@+_%() 0912345"), rng.choice([10, 30, 80]))) for _ in range(800)]
+    texts += ["a@b.c_x@y.z", "1.2.3.4.5.6.7.8", "1 " * 3000, "a." * 2000 + "@" + "b." * 2000 + "c", "+1 2 " * 1000, "9" * 30000, "a" * 30000 + "@", " a@bc 12"]
+    extra = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for df in (documents, awkward, extra):
+        for r in pii.with_base(df).select("text", "_base").collect():
+            assert [(b.start, b.k, b.end) for b in r._base] == base_spans(r.text)
+
+
+def test_redacted(documents, awkward, empty):
+    model = pii.fit(documents)
+    found = pii.with_spans(documents, model).select("text", "_base", "_spans").collect()
+    for r in found:
+        kept = [tuple(s) for s in r._spans]
+        assert kept == sorted(kept) and {(b.start, b.k, b.end) for b in r._base} <= set(kept)
+    out = pii.redacted(awkward, model)
+    assert out.columns == awkward.columns and out.count() == awkward.count()
+    text = out.where("doc_id = 9").first().text
+    assert text == "mail [EMAIL] or [PHONE] from [IP], card [CARD]"
+    assert out.where("doc_id = 0").first().text is None
+    assert pii.fit(empty).thresholds == {} and pii.redacted(empty, pii.Trees()).count() == 0
+
+
+# 5 and 7
+
+
+def held(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def test_toxicity(spark, awkward, empty, labels):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    scored = toxicity.score(docs, toxicity.fit(docs, marks)).join(marks, "doc_id").toPandas()
+    assert (scored.held_out == scored.doc_id.map(held)).all()
+    out = scored[scored.held_out]
+    assert (out.predicted == out.toxic).mean() > 0.95 and out[out.toxic == 0].predicted.mean() < 0.02
+    model = toxicity.fit(awkward, labels)
+    rows = toxicity.score(awkward, model).collect()
+    assert len(rows) == awkward.count() and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.score(empty, model).count() == 0 and toxicity.without_toxic(awkward, model).columns == awkward.columns
+    assert {r.score for r in toxicity.score(awkward, toxicity.fit(awkward, labels.where("false"))).collect()} == {0.0}
+
+
+def test_quality(spark, awkward, empty, labels):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit(docs, marks)
+    scored = quality.score(docs, model).join(marks, "doc_id").toPandas()
+    out = scored[scored.held_out]
+    assert (out.predicted == out.quality).mean() > 0.9
+    rows = quality.score(awkward, model).collect()
+    assert len(rows) == awkward.count() and all(0 <= r.score <= 1 for r in rows)
+    assert {r.score for r in quality.score(awkward, quality.fit(docs, labels.where("false"))).collect()} == {1.0}
+    assert quality.score(empty, model).count() == 0
+    assert all(0 <= r.good <= 1 for r in quality.lines(awkward, model).collect())
+
+
+def test_marginals_by_enumeration():
+    rng = np.random.default_rng(0)
+    evidence, table, of = rng.normal(size=7), rng.normal(size=(2, 2)), np.array([0, 0, 0, 0, 1, 1, 2])
+    got, pairs = quality.marginals(evidence, of, table)
+    want, want_pairs = np.zeros(7), np.zeros((2, 2))
+    for text in range(3):
+        at = np.flatnonzero(of == text)
+        total = 0.0
+        good, both = np.zeros(len(at)), np.zeros((2, 2))
+        for code in range(2 ** len(at)):
+            y = [code >> i & 1 for i in range(len(at))]
+            w = math.exp(sum(evidence[i] * v for i, v in zip(at, y, strict=True)) + sum(table[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += w
+            good += w * np.array(y)
+            for a, b in zip(y, y[1:], strict=False):
+                both[a, b] += w
+        want[at] = good / total
+        want_pairs += both / total
+    assert np.allclose(got, want) and np.allclose(pairs, want_pairs)
+
+
+# 6
+
+
+def brute_components(docs, n, num, den):
+    sets, holders = {}, collections.defaultdict(list)
+    for d, t in docs:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets[d] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
+    up = {d: d for d in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for d in sorted(sets):
+        common = collections.Counter(o for g in sets[d] for o in holders[g])
+        for g in sets[d]:
+            holders[g].append(d)
+        for o, k in common.items():
+            if den * k >= num * (len(sets[d]) + len(sets[o]) - k):
+                a, b = sorted((top(d), top(o)))
+                up[b] = a
+    return {d: (len(sets[d]), top(d)) for d in sets}
+
+
+@pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80)])
+def test_join_components(spark, documents, n, num):
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in rng.integers(0, 500, 400)]
+    rows = collected(documents)
+    for k in range(60):  # near copies that link to their source, or through others, or not
+        words = list(base)
+        for i in rng.choice(400, rng.integers(1, 14), replace=False):
+            words[i] = f"v{k}_{i}"
+        rows.append((10_000 + k, " ".join(words[: rng.integers(330, 401)])))
+    for k in range(200):
+        rows.append((20_000 + k, " ".join(f"s{i}" for i in rng.integers(0, 3, rng.integers(1, 12)))))
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), n, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, n, num, 100) and len(got) == len(rows)
+
+
+def test_join_awkward(awkward, empty):
+    rows = jaccard.join_components(awkward).collect()
+    assert len(rows) == awkward.count()
+    of = {r.doc_id: r.component_id for r in rows}
+    assert of[0] == 0 and of[4] == of[5] == of[6] == 4
+    kept = jaccard.one_of_each(awkward)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == awkward.columns and 4 in ids and 5 not in ids and ids.count(4) == 1 and None in ids and {0, 1, 2} <= set(ids)
+    assert jaccard.join_components(empty).count() == 0
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    assert {(r.node, r.root) for r in jaccard.components(edges).collect()} == {(i, 0) for i in range(1, 61)} | {(101, 100)}
+
+
+# 8
+
+
+def test_fingerprints(spark, documents, awkward, empty):
+    rows = sorted(collected(documents))
+    got = {r.doc_id: r for r in spotsigs.with_next(documents, rows_a_part=30).collect()}
+    for i, (d, t) in enumerate(rows):
+        assert got[d].text == (t or "") and got[d].next_text == (rows[(i + 1) % len(rows)][1] or "")
+    shown = spotsigs.with_next(awkward).select("text", spotsigs.printed(F.col("signatures")).alias("f"), "next_signatures").collect()
+    assert len(shown) == awkward.count()
+    by = collections.defaultdict(set)
+    for r in shown:
+        by[r.text].add(r.f)
+    assert all(len(v) == 1 for v in by.values()) and by[""] == {""}
+    assert spotsigs.with_next(empty).count() == 0
+    one = awkward.where("doc_id = 3")
+    assert spotsigs.with_next(one).first().next_text == "one"
+
+
+def test_similar_fingerprints(spark):
+    rng = np.random.default_rng(2)
+    base = ["the" if i % 3 == 0 else f"w{x}" for i, x in enumerate(rng.integers(0, 5000, 900))]
+    near = list(base)
+    near[500] = "other"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, " ".join(base[:300])), (5, "")]
+    members, pairs = spotsigs.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in members.collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    assert [(r.a, r.b) for r in pairs.collect()] == [(1, 2)]
+
+
+# 9
+
+
+def test_encoder_is_the_tokenizers(documents):
+    from tokenizers import Tokenizer
+
+    slow, fast = Tokenizer.from_file(PATH), packing.encoder(PATH)
+    texts = [t or "" for _, t in collected(documents)] + ["<|endoftext|> a", "  x\n\n y\t", "é😀​", "a" * 3000]
+    for t in texts:
+        assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("size", [64, 1024])
+def test_pack(awkward, documents, empty, size):
+    for df in (documents, awkward):
+        pieces = packing.pack(df, PATH, size, with_ids=True, group_pieces=50).collect()
+        texts = collections.Counter((d, t or "") for d, t in collected(df))
+        whole = collections.defaultdict(list)
+        for p in pieces:
+            assert zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32 and len(p.ids) == p.length
+            whole[p.doc_id].append(p)
+        encode = packing.encoder(PATH)
+        for d, own in whole.items():
+            want = collections.Counter(x for (i, t), n in texts.items() if i == d for x in [*encode(t).tolist(), 0] * n)
+            assert collections.Counter(x for p in own for x in p.ids) == want
+        bins = collections.defaultdict(list)
+        for p in pieces:
+            bins[p.sequence_id].append((p.offset, p.length))
+        for parts in bins.values():
+            parts.sort()
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= size
+    assert packing.pack(empty, PATH).count() == 0
+
+
+def test_first_fit_decreasing():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 57, 400):
+        sizes = rng.integers(1, 101, n)
+        bins, offsets = packing.first_fit_decreasing(sizes, 100)
+        free: list[int] = []
+        for i in np.argsort(-sizes, kind="stable"):
+            at = next((b for b, f in enumerate(free) if f >= sizes[i]), len(free))
+            if at == len(free):
+                free.append(100)
+            assert bins[i] == at and offsets[i] == 100 - free[at]
+            free[at] -= sizes[i]
+
+
+# 10
+
+
+def brute_repeats(docs, n):
+    words = [(d, WORD.findall(t or "")) for d, t in docs]
+    count = collections.Counter(tuple(w[i : i + n]) for _, w in words for i in range(len(w) - n + 1))
+    out = []
+    for d, w in words:
+        gone = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if count[tuple(w[i : i + n])] > 1:
+                gone[i : i + n] = [True] * n
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("window", "seed"), [(35, 8), (9, 4)])
+def test_repeats(spark, documents, awkward, window, seed):
+    shared = " ".join(f"p{i}" for i in range(60))
+    planted = [(50_000 + k, f"a{k} b{k} " * k + " ".join(shared.split()[k % 7 : 60 - k % 5]) + f" c{k}" * 9) for k in range(40)]
+    for rows in (collected(documents) + planted, collected(awkward)):
+        got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window, seed).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, window)
+
+
+def test_repeats_text(awkward, empty):
+    rows = substrings.without_repeats(awkward, with_text=True).collect()
+    assert {r.kept_text for r in rows if r.n_removed and r.n_removed == r.n_words} == {""}
+    assert substrings.without_repeats(empty).count() == 0
+
+
+# shared
+
+
+def test_words():
+    texts = ["", "a  b\tc", "é x\x0by", "no", " lead"]
+    w = textkit.words([t.encode() for t in texts])
+    assert np.diff(w.first).tolist() == [len(WORD.findall(t)) for t in texts]
+    seen = {}
+    for i, t in enumerate(texts):
+        for word, h in zip(WORD.findall(t), w.hash[w.first[i] : w.first[i + 1]], strict=True):
+            assert seen.setdefault(int(h), word) == word
+    upper, lower = textkit.words([b"ABC \xc3\x89"], lower=True), textkit.words([b"abc \xc3\x89"], lower=True)
+    assert (upper.hash == lower.hash).all()
