@@ -124,6 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     in_positive = {r.f: r.n for r in sums(True).orderBy(F.desc("n"), "f").limit(4 * limits.features).toLocalIterator()}
     in_others = {r.f: r.n for r in sums(False, frozenset(in_positive)).toLocalIterator()}
     size = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
+    if not size.get(True):  # no labelled toxic document is among docs
+        return Model()
     gain = {}
     for f, n in in_positive.items():
         often, else_often = (n + 0.5) / (size[True] + 1), (in_others.get(f, 0) + 0.5) / (size.get(False, 0) + 1)
