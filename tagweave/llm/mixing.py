@@ -87,7 +87,7 @@ def budgets(sums: DataFrame, weights: tuple[int, ...], share: float, most_epochs
         .select("_source", F.col("_mix_bucket").alias("_cut"), (F.col("_rest") - (F.col("_upto") - F.col("_size"))).alias("_left"))
     )
     found = per_source.join(hit, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return found.select(F.col("source").alias("_mix_source"), "source_size", "target", "_epochs", F.coalesce("_cut", F.lit(-1)).alias("_cut"), F.coalesce("_left", F.lit(0)).alias("_left"))
+    return materialize(found.select(F.col("source").alias("_mix_source"), "source_size", "target", "_epochs", F.coalesce("_cut", F.lit(-1)).alias("_cut"), F.coalesce("_left", F.lit(0)).alias("_left")), "budgets", narrow=True)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most_epochs: int = 3) -> DataFrame:
