@@ -237,10 +237,11 @@ def dictionaries(df: DataFrame, data: str, context: str, order: list[str], most:
     return held.select(context, F.unhex(F.right(F.col("_all"), F.lit(2 * most))).alias("dictionary"))
 
 
-def contexts_in_stream(df: DataFrame, data: str, context: str, most: int = DICTIONARY) -> DataFrame:
+def contexts_in_stream(df: DataFrame, data: str, context: str, most: int = DICTIONARY, idle_ms: int | None = None) -> DataFrame:
     """The streaming form of compress_in_context(): context, compressed and dictionary_size of each message.
 
-    Each context's dictionary is state of its own and lasts for an hour without messages.
+    Each context's dictionary is state of its own. With idle_ms it is dropped after that long without
+    messages, for which the stream runs batches even when no data come.
     """
     kind = df.schema[context].dataType
     out = T.StructType([T.StructField(context, kind), T.StructField("compressed", T.BinaryType()), T.StructField("dictionary_size", T.LongType())])
@@ -260,6 +261,7 @@ def contexts_in_stream(df: DataFrame, data: str, context: str, most: int = DICTI
                 sizes.append(len(seen))
             yield pd.DataFrame({context: key[0], "compressed": packed, "dictionary_size": sizes})
         state.update((seen,))
-        state.setTimeoutDuration(3_600_000)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return df.groupBy(context).applyInPandasWithState(step, out, held, "append", "ProcessingTimeTimeout")
+    return df.groupBy(context).applyInPandasWithState(step, out, held, "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")

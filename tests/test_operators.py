@@ -41,12 +41,11 @@ def test_zstd_and_shards(spark):
 
 
 def test_brotli_says_what_it_needs():
-    pytest.importorskip  # noqa: B018
     try:
         import brotli  # noqa: F401
     except ImportError:
         with pytest.raises(compression.CompressionError, match="brotli"):
-            compression.compress(F.lit(b"x") if False else None, "brotli")
+            compression.compress(None, "brotli")
 
 
 def test_contexts_batch_equals_stream(spark, tmp_path):
@@ -56,7 +55,7 @@ def test_contexts_batch_equals_stream(spark, tmp_path):
     df.orderBy("c", "t").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = compression.contexts_in_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "data", "c", 100)
     q = stream.writeStream.format("memory").queryName("contexts").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     assert sorted((r.c, r.dictionary_size) for r in spark.sql("SELECT * FROM contexts").collect()) == batch
 
 
