@@ -111,4 +111,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM words WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+reached AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce((SELECT min(b) FROM reached r WHERE r.a = w.doc_id), w.doc_id) AS component_id,
+  coalesce((SELECT min(c.doc_id) FROM words c WHERE len(c.ws) > 0 AND c.doc_id IN (SELECT l.b FROM common l JOIN sizes z ON z.doc_id = l.b WHERE l.a = w.doc_id AND l.k = s.n AND z.n = s.n UNION ALL SELECT w.doc_id)), w.doc_id) AS class_id
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id
+"""
+
+OP10_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM words WHERE len(ws) >= 35)),
+twice AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows WHERE s IN (SELECT s FROM twice)),
+each AS (SELECT doc_id, generate_subscripts(ws, 1) AS p, unnest(ws) AS word FROM words),
+kept AS (
+  SELECT e.doc_id, count(g.p) AS n_removed, string_agg(e.word, ' ' ORDER BY e.p) FILTER (g.p IS NULL) AS rest
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY e.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_substring_dedup": OP10_SQL}
