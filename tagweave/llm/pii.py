@@ -3,10 +3,11 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers by fixed patterns and checks.
 Further generators propose spans with high recall, which may overlap each other and base spans: digit
 groups, long tokens of letters and digits, written-out addresses. Boosted trees score each by its
-format and by the text around it; per kind, the threshold is the lowest score at which the calibration
-part of the sample is right often enough. Spans that pass and overlap no base span or better span are
-added. Trees are fitted on the driver from the candidates of SAMPLE documents, with base spans and
-assignments (token = "...") as positives, and run as expressions.
+format and by the text around it; per kind, the threshold is the lowest score at which the candidates of
+all documents are right often enough, by a histogram of their scores. Spans that pass and overlap no base
+span or better span are added. Base spans and assignments (token = "...") are the positives; a kind that
+has none takes the score at which the trees are as sure. Trees are fitted on the driver from the candidates
+of SAMPLE documents, which a small table's thresholds see again, and run as expressions.
 
 Positions are code points, end exclusive. Base patterns are rewritten so that each scan is linear in
 the text, however long its runs. Null texts are empty; texts without a span give empty strings. Ties
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Documents whose candidates the trees are fitted on, at most, and candidates of them.
 SAMPLE, SAMPLE_SPANS = 4000, 20000
+#: Thresholds are multiples of 1 / STEPS, a power of two so that they are exact.
+STEPS = 64
 KINDS = ("email", "ip", "card", "phone", "number", "secret", "address")
 BASE = KINDS[:4]
 #: Stands for a separator inside a run; text that holds it already gets another private character.
@@ -210,34 +213,43 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate:
     return model
 
 
-def calibrated(model: Trees, x: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float) -> Trees:
-    """For each kind, the lowest score from which on the rows above are right often enough; none if never."""
-    z = model.score_rows(x)
-    for k in np.unique(kinds):
-        at = np.flatnonzero(kinds == k)
-        at = at[np.argsort(-z[at], kind="stable")]
-        right = np.cumsum(y[at]) / np.arange(1, len(at) + 1)
-        last = np.append(z[at][1:] != z[at][:-1], True)  # a threshold can't part equal scores
-        good = np.flatnonzero((right >= precision) & last)
-        if len(good):
-            model.thresholds[int(k)] = float(z[at[good[-1]]])
+def calibrated(model: Trees, docs: DataFrame, precision: float) -> Trees:
+    """For each kind, the lowest score from which on the candidates of all docs are right often enough; none if never.
+
+    Scores are counted in steps of 1 / STEPS. A kind without any positive gets the score at which the trees hold a
+    candidate to be right with probability precision.
+    """
+
+    def cell(c: Column) -> Column:
+        return F.struct(c["k"].alias("k"), F.floor(model.score(c["f"]) * STEPS).cast("int").alias("step"), (c["base"] | _assigned(c["f"])).cast("long").alias("right"))
+
+    cells = with_candidates(with_base(docs.select("text"))).select(F.explode_outer(F.transform("_more", cell)).alias("x")).where("x IS NOT NULL")
+    counts = cells.groupBy("x.k", "x.step").agg(F.count("*").alias("n"), F.sum("x.right").alias("right")).collect()
+    for k in {r.k for r in counts}:
+        of = sorted((r for r in counts if r.k == k), key=lambda r: -r.step)
+        right, n = np.cumsum([r.right for r in of]), np.cumsum([r.n for r in of])
+        good = np.flatnonzero(right >= precision * n)
+        if not right[-1]:
+            model.thresholds[k] = math.log(precision / (1 - precision))
+        elif len(good):
+            model.thresholds[k] = of[good[-1]].step / STEPS
     return model
 
 
+def _assigned(f: Column) -> Column:
+    return f[FEATURES.index("assigned")] * f[FEATURES.index("cue")] > 0
+
+
 def fit(docs: DataFrame, precision: float = 0.9, sample: int = SAMPLE) -> Trees:
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
-    spans = with_candidates(with_base(texts)).select("doc_id", F.explode("_more").alias("x")).select("doc_id", "x.*")
-    rows = spans.orderBy(F.xxhash64("doc_id", "start", "k"), "doc_id", "start", "k").limit(SAMPLE_SPANS).collect()
+    # explode() would have Spark test all documents for candidates before the join
+    spans = with_candidates(with_base(texts)).select("doc_id", F.explode_outer("_more").alias("x")).where("x IS NOT NULL").select("doc_id", "x.*")
+    rows = spans.orderBy(F.xxhash64("doc_id", "start", "k"), "doc_id", "start", "k").limit(SAMPLE_SPANS).withColumn("y", F.col("base") | _assigned(F.col("f"))).collect()
     x = np.array([r.f for r in rows], float).reshape(len(rows), len(FEATURES))
-    assigned = x[:, FEATURES.index("assigned")] * x[:, FEATURES.index("cue")] if len(rows) else np.empty(0)
-    y = np.array([r.base for r in rows], float)
-    y = np.maximum(y, assigned)
-    if not len(rows) or y.min() == y.max():
-        return Trees()
-    part = np.arange(len(rows)) % 4 == 0  # rows come in an order by hash
-    kinds = x[:, 0].astype(int)
-    return calibrated(boost(x[~part], y[~part]), x[part], y[part], kinds[part], precision)
+    y = np.array([r.y for r in rows] or [0], float)
+    model = boost(x, y) if y.min() < y.max() else Trees(start=math.log(999) * (1 if y.max() else -1))
+    return calibrated(model, docs, precision)
 
 
 def with_spans(docs: DataFrame, model: Trees) -> DataFrame:

@@ -158,6 +158,20 @@ def test_redacted(documents, awkward, empty):
     assert pii.fit(empty).thresholds == {} and pii.redacted(empty, pii.Trees()).count() == 0
 
 
+def test_thresholds_cover_all_documents(spark):
+    ids = [r.doc_id for r in spark.range(400).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    secret, plain = 'token = "0b96a8c8d79c4a5085c91969{:04d}" end', "see build-0000-of-the-module-{:04d}"
+    texts = [(secret if i % 2 else plain).format(i) for i in range(380)] + [f"e-mail: jo{i} [at] example [dot] com" for i in range(17)] + ["at no. 1234 5678 99 in x"] * 3
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    model = pii.fit(docs, sample=100)  # the last documents by hash, and so all addresses and numbers, are outside the sample
+    kind = pii.KINDS.index
+    found = {r.doc_id: {s.k for s in r._spans} for r in pii.with_spans(docs, model).select("doc_id", "_spans").collect()}
+    assert all(found[i] == {kind("address")} for i in ids[380:397])
+    assert all(found[i] == ({kind("secret")} if n % 2 else set()) for n, i in enumerate(ids[:380]))
+    assert model.thresholds[kind("number")] == pytest.approx(math.log(9))  # no positive anywhere: the fallback
+    assert pii.fit(docs.where(F.col("doc_id").isin(ids[397:])), sample=1).thresholds == {kind("number"): pytest.approx(math.log(9))}
+
+
 # 5 and 7
 
 
