@@ -7,7 +7,8 @@ style or by a closed <details> are dropped. Blocks stand on lines of their own,
 apart by a blank line; list items get markers and indents, preformatted text keeps its spaces, and the
 cells of a table's columns are padded to equal widths.
 
-Null or empty pages give an empty text and title. A tag that never ends drops the rest, as browsers do.
+Null or empty pages give an empty text and title. A quote opens a value only after an equals sign, so a
+stray one ends nothing and opens nothing; a tag that never ends drops the rest, as browsers do.
 Nesting may be of any depth. Each page is read whole; pages are independent, so nothing is shuffled.
 Repeated rows are rendered alike. An empty table gives an empty result. Columns other than the id, url
 and html are ignored.
@@ -26,9 +27,13 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.common import prepare
 
-_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
-_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NAME = re.compile(r"[A-Za-z][^ \t\n\r\f/>]*+")
+_GAP = r"[ \t\n\r\f]*+"
+_KEY = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+_PLAIN = r"""[^ \t\n\r\f>"'][^ \t\n\r\f>]*+"""
+#: Quotes open a value only after the equals sign of a name; elsewhere they are characters like any other.
+_REST = re.compile(rf"""(?:[ \t\n\r\f/]++|{_KEY}(?:{_GAP}={_GAP}(?:"[^"]*+"|'[^']*+'|{_PLAIN}|(?=>))|(?!{_GAP}=)))*+>""")
+_ATTRIBUTE = re.compile(rf"""({_KEY})(?:{_GAP}={_GAP}(?:"([^"]*+)"|'([^']*+)'|({_PLAIN}))?)?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 

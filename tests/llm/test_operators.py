@@ -76,6 +76,26 @@ def test_render_awkward(page):
     html_render.render(html_render.parse(page))
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('a <b x="1"">b</b> c', "a b c"),
+        ("a <p title=it's>b</p> c", "a\n\nb\n\nc"),
+        ("a <p title=it's>b</p> it's c", "a\n\nb\n\nit's c"),
+        ("<div>a</div '>b", "a\nb"),
+        ("<i \">a</i> \"b\" c", 'a "b" c'),
+        ("<i =\"x\">a</i> b", "a b"),
+        ("<i x=a\"b>a</i> b", "a b"),
+        ("<i x = \"a>b\" y='c>d'>a</i> b", "a b"),
+        ('<i x="1"hidden>a</i>b', "b"),
+        ("<i x=/hidden>a</i> b<i x= >c</i>", "a bc"),
+        ('a <i x="b> c', "a"),
+    ],
+)
+def test_render_stray_quotes(page, text):
+    assert html_render.render(html_render.parse(page)) == text
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, None, None, 5), (2, "u", "<b>x</b>", 5), (2, "u", "<b>x</b>", 5)], "page_id long, url string, html string, text int")
     assert sorted(r.text for r in html_render.extract(df).collect()) == ["", "x", "x"]
