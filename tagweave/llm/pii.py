@@ -2,10 +2,10 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers by fixed patterns and checks.
 Further generators propose spans with high recall, which may overlap each other and base spans: digit
-groups, long tokens of letters and digits, written-out addresses. Boosted trees score each by its
+groups, long tokens of letters and digits, written-out addresses, each of any length. Boosted trees score each by its
 format and by the text around it; per kind, the threshold is the lowest score at which the candidates of
 all documents are right often enough, by a histogram of their scores. Spans that pass and overlap no base
-span or better span are added. Base spans and assignments (token = "...") are the positives; a kind that
+span are added, the best first, where they overlap none that is added already. Base spans and assignments (token = "...") are the positives; a kind that
 has none takes the score at which the trees are as sure. Trees are fitted on the driver from the candidates
 of SAMPLE documents, which a small table's thresholds see again, and run as expressions.
 
@@ -38,9 +38,10 @@ EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@(?=[A-Za-z0-9-]++{MARK})[A-Za-z0-9
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"(?<![0-9{MARK}])[0-9](?:{MARK}?[0-9]){{11,18}}(?![0-9{MARK}])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-NUMBER = r"(?<![0-9A-Za-z])[0-9](?:[ ./-]?[0-9]){6,29}(?![0-9A-Za-z])"
-SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,80}[0-9])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])"
-ADDRESS = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64} ?(?:[\[(]dot[\])]|\.) ?[A-Za-z]{2,24}"
+#: Groups of digits that end before a letter don't count; what has fewer than 7 digits then goes.
+NUMBER = r"(?<![0-9A-Za-z])(?=[0-9](?:[ ./-]?[0-9]){6})[0-9]++(?![A-Za-z])(?:[ ./-][0-9]++(?![A-Za-z]))*+"
+SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+"
+ADDRESS = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++ ?(?:[\[(]dot[\])]|\.) ?[A-Za-z]{2,}+"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Matches summed at once on the way to a match's position.
 BLOCK = 256
@@ -119,7 +120,8 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     """Adds _more: generated spans with their features, and base: whether a base span overlaps."""
     text = F.col("_text")
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    of = [_kind(F.when(F.col("_has"), matches(text, p)).otherwise(none), k) for k, p in (("number", NUMBER), ("secret", SECRET))]
+    number = F.filter(matches(text, NUMBER), lambda x: F.regexp_count(x["s"], F.lit("[0-9]")) >= 7)
+    of = [_kind(F.when(F.col("_has"), x).otherwise(none), k) for k, x in (("number", number), ("secret", matches(text, SECRET)))]
     of.append(_kind(F.when(text.rlike(r"[\[(]at[\])]"), matches(text, ADDRESS)).otherwise(none), "address"))
 
     def described(x: Column) -> Column:
@@ -260,11 +262,12 @@ def with_spans(docs: DataFrame, model: Trees) -> DataFrame:
     open_ = F.filter("_more", lambda c: ~c["base"])
     scored = F.transform(open_, lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"), model.score(c["f"]).alias("z")))
     passed = F.filter(scored, lambda c: c["z"] >= _case(c["k"], model.thresholds))
-    better = lambda d, c: (d["z"] > c["z"]) | ((d["z"] == c["z"]) & ((d["start"] < c["start"]) | ((d["start"] == c["start"]) & (d["k"] < c["k"]))))
-    found = found.withColumn("_passed", passed)
-    kept = F.filter("_passed", lambda c: ~F.exists("_passed", lambda d: (d["start"] < c["end"]) & (d["end"] > c["start"]) & better(d, c)))
+    best = F.array_sort(F.transform(passed, lambda c: F.struct((-c["z"]).alias("z"), c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"))))
+    free = lambda kept, c: ~F.exists(kept, lambda d: (d["start"] < c["end"]) & (d["end"] > c["start"]))
+    none = F.array().cast("array<struct<z:double,start:int,k:int,end:int>>")
+    kept = F.aggregate(best, none, lambda kept, c: F.when(free(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
     both = F.concat(*(F.transform(a, lambda b: F.struct(b["start"].alias("start"), b["k"].alias("k"), b["end"].alias("end"))) for a in (F.col("_base"), kept)))
-    return found.withColumn("_spans", F.array_sort(both)).drop("_more", "_has", "_passed")
+    return found.withColumn("_spans", F.array_sort(both)).drop("_more", "_has")
 
 
 def _case(k: Column, values: dict[int, float]) -> Column:

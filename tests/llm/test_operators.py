@@ -164,6 +164,28 @@ def test_base_spans(spark, documents, awkward):
             assert [(b.start, b.k, b.end) for b in r._base] == base_spans(r.text)
 
 
+NUMBERS = r"(?<![0-9A-Za-z])[0-9](?:[ ./-]?[0-9]){6,}(?![0-9A-Za-z])"
+SECRETS = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_-])"
+ADDRESSES = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+ ?(?:[\[(]dot[\])]|\.) ?[A-Za-z]{2,}"
+
+
+def test_candidates_of_any_length(spark, documents):
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("1234567890ab-_ ./"), rng.choice([20, 60, 200]), p=[0.07] * 10 + [0.05] * 4 + [0.04, 0.03, 0.03])) for _ in range(600)]
+    texts += ["k" * 200 + "7" * 200, "1234 5678 " * 20, "9" * 30000, "1 " * 4000, "a1" * 20000, "a" * 90 + "1" * 20, "1234567 8abc", "1 234567x", "x" * 70 + " [at] " + "y" * 70 + " [dot] " + "z" * 30]
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in pii.with_candidates(pii.with_base(docs)).select("_text", "_more").collect():
+        want = [(m.start(), pii.KINDS.index(k), m.end()) for k, p in (("number", NUMBERS), ("secret", SECRETS), ("address", ADDRESSES)) for m in re.finditer(p, r._text)]
+        assert sorted((x.start, x.k, x.end) for x in r._more) == sorted(want)
+
+
+def test_best_spans_first(spark):
+    # the secret in the middle overlaps both numbers; the last number scores best, then the secret
+    docs = spark.createDataFrame([(1, "12 3456 789-abcdefghijklmnop-12 3456 789")], "doc_id long, text string")
+    model = pii.Trees([(0, 4.5, (pii.FEATURES.index("opened"), 0.5, 3.0, 1.0), 2.0)], thresholds={4: 0.0, 5: 0.0})
+    assert [tuple(s) for s in pii.with_spans(docs, model).first()._spans] == [(0, 4, 11), (29, 4, 40)]
+
+
 def test_redacted(documents, awkward, empty):
     model = pii.fit(documents)
     found = pii.with_spans(documents, model).select("text", "_base", "_spans").collect()
