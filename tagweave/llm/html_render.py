@@ -3,7 +3,8 @@
 Tags are read in one pass; the tree builder closes paragraphs, list items, table cells and the like
 where the next tag implies their end, supplies table rows, and ignores end tags that match nothing.
 Elements that are never shown (scripts, styles, templates, metadata), hidden by attribute, by inline
-style or by a closed <details> are dropped. Blocks stand on lines of their own, paragraphs and headings
+style or by a closed <details> are dropped, and what stands in for media or frames. Of an <svg> its texts are
+read, of a <select> the options that it shows, of an <input> the value; placeholders and passwords are not. Blocks stand on lines of their own, paragraphs and headings
 apart by a blank line; list items get markers and indents, preformatted text keeps its spaces, and the
 cells of a table's columns are padded to equal widths.
 
@@ -34,6 +35,8 @@ _PLAIN = r"""[^ \t\n\r\f>"'][^ \t\n\r\f>]*+"""
 #: Quotes open a value only after the equals sign of a name; elsewhere they are characters like any other.
 _REST = re.compile(rf"""(?:[ \t\n\r\f/]++|{_KEY}(?:{_GAP}={_GAP}(?:"[^"]*+"|'[^']*+'|{_PLAIN}|(?=>))|(?!{_GAP}=)))*+>""")
 _ATTRIBUTE = re.compile(rf"""({_KEY})(?:{_GAP}={_GAP}(?:"([^"]*+)"|'([^']*+)'|({_PLAIN}))?)?""")
+#: An unquoted value to the end: its last stroke closes nothing.
+_VALUE_LAST = re.compile(r"""=[ \t\n\r\f]*+[^ \t\n\r\f>"']++$""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
@@ -42,7 +45,13 @@ DEEPEST = 24
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math datalist select option optgroup area param source track".split())
+UNSEEN = frozenset("head script style template noscript annotation annotation-xml title meta link base iframe noembed noframes object audio video canvas datalist area param source track".split())
+#: Input types whose value is not shown as text.
+MUTE = frozenset("hidden password checkbox radio range color file image".split())
+#: In <svg>, what is not drawn in place; in <svg> and <math>, HTML elements that end them, and elements that hold HTML.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter desc metadata".split())
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol menu dl table figure hr fieldset".split())
 BLOCKS = APART | frozenset("html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main nav search section summary caption".split())
 #: A start tag ends the open elements named here, up to the boundary named after them.
@@ -57,6 +66,8 @@ _ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 _CLOSES_P = BLOCKS - {"html", "body", "caption", "li", "dd", "dt"} | {"li", "dd", "dt"}
 _SCOPE = frozenset("table td th caption html object template".split())
@@ -82,16 +93,20 @@ class Builder:
     def __init__(self):
         self.root = Node("#root")
         self.open = [self.root]
+        self.foreign = [0]  # for each open element, the place of the <svg> or <math> that its children are in; 0 in HTML
         self.count: Counter[str] = Counter()  # open elements by tag, so that what isn't open is not looked for
 
     def _drop(self, i: int) -> None:
         """End the open elements from i on."""
         self.count.subtract(n.tag for n in self.open[i:])
-        del self.open[i:]
+        del self.open[i:], self.foreign[i:]
 
     def text(self, data: str) -> None:
         if data:
-            self.open[-1].children.append(html.unescape(data) if "&" in data else data)
+            data = html.unescape(data) if "&" in data else data
+            if self.open[-1].tag == "head" and data.strip(" \t\n\r\f"):
+                self._drop(len(self.open) - 1)
+            self.open[-1].children.append(data)
 
     def _close(self, inner: set[str], until: frozenset[str] | set[str]) -> None:
         """End the open elements of inner that are within until, and all in them."""
@@ -105,7 +120,14 @@ class Builder:
                 self._close(inner, until)
                 break
 
-    def start(self, tag: str, attributes: str) -> None:
+    def start(self, tag: str, attributes: str) -> bool:
+        """Whether the element is open now or void by its name, so that what follows is read by its rules."""
+        if at := self.foreign[-1]:
+            if tag in BREAKS_OUT:
+                self._drop(at)
+            elif attributes.endswith("/") and not _VALUE_LAST.search(attributes):
+                self.open[-1].children.append(Node(tag, attributes))
+                return False
         if tag in _ENDS:
             self._close(*_ENDS[tag])
         if tag in _CLOSES_P:
@@ -117,8 +139,10 @@ class Builder:
         node = Node(tag, attributes)
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.foreign.append(len(self.open) if tag in ("svg", "math") else 0 if tag in HOLDS_HTML else self.foreign[-1])
             self.open.append(node)
             self.count[tag] += 1
+        return True
 
     def end(self, tag: str) -> None:
         if tag == "p" and not self.count["p"]:
@@ -170,8 +194,7 @@ def parse(page: str) -> Node:
             builder.end(tag)
             continue
         attributes = page[name.end() : at - 1]
-        builder.start(tag, attributes)
-        if tag in RAW:
+        if builder.start(tag, attributes) and tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             data = page[at : stop.start() if stop else n]
             if tag in ("title", "textarea"):
@@ -196,6 +219,44 @@ def hidden(node: Node) -> bool:
     return node.tag == "dialog" and node.get("open") is None
 
 
+def drawn(svg: Node) -> list:
+    """The texts of an <svg> in order, apart by spaces, and the HTML that it holds."""
+    out, stack = [], svg.children[::-1]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str) or hidden(node) or node.tag in UNDRAWN:
+            continue
+        if node.tag in ("text", "foreignobject"):
+            out += [" ", node, " "]
+        else:
+            stack += node.children[::-1]
+    return out
+
+
+def shown(select: Node) -> list:
+    """The options of a <select> that are seen: all of a list box, the chosen or else first one of a closed menu."""
+    options, stack = [], [(c, False) for c in select.children[::-1]]
+    while stack:
+        node, off = stack.pop()
+        if isinstance(node, str) or hidden(node):
+            continue
+        off = off or node.get("disabled") is not None
+        if node.tag in ("option", "optgroup"):
+            options.append((node, off))
+        if node.tag != "option":
+            stack += [(c, off) for c in node.children[::-1]]
+    size = select.get("size") or ""
+    if select.get("multiple") is None and not (re.fullmatch("[0-9]{1,9}", size) and int(size) > 1):
+        options = [x for x in options if x[0].tag == "option"]
+        chosen = [x for x in options if x[0].get("selected") is not None][-1:]
+        options = chosen or [x for x in options if not x[1]][:1] or options[:1]
+    out = []
+    for node, _ in options:
+        label = node.get("label")
+        out += [" ", *([label] if label else node.children if node.tag == "option" else []), " "]
+    return out
+
+
 class Flow:
     """Lines of text under way. gap: line breaks (2: a blank line) due before the next word."""
 
@@ -313,8 +374,9 @@ def render(root: Node) -> str:
                 flow.block(["---"])
                 flow.break_line(2)
                 continue
-            if tag == "input" and (node.get("type") or "text").lower() in ("submit", "button", "reset") and node.get("value"):
-                flow.write(node.get("value"))
+            if tag == "input":
+                if (node.get("type") or "text").lower() not in MUTE and node.get("value"):
+                    flow.write(node.get("value"))
                 continue
             if tag in BLOCKS:
                 flow.break_line(2 if tag in APART and not (tag in ("ul", "ol", "menu") and counters) else 1)
@@ -343,6 +405,10 @@ def render(root: Node) -> str:
             children = node.children
             if tag == "details" and node.get("open") is None:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+            elif tag == "svg":
+                children = drawn(node)
+            elif tag == "select":
+                children = shown(node)
             stack.extend((c, False) for c in reversed(children))
             continue
         if tag in ("td", "th", "caption") and grids and len(flows) > 1:

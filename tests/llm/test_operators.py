@@ -96,6 +96,33 @@ def test_render_stray_quotes(page, text):
     assert html_render.render(html_render.parse(page)) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> b", "a x=2 b"),
+        ("a <svg><title/><defs><text>no</text></defs><g><rect/><text x=1>one <tspan>two</tspan></text><text>three</text></g><desc>no</desc></svg> b", "a one two three b"),
+        ("<svg><style/><foreignObject><p>p</p></foreignObject></svg>b", "p\n\nb"),
+        ("<svg><path d=x/><p>out</p>", "out"),
+        ("<svg>stray<title>no</title></svg>a", "a"),
+        ("a <select><option>one<option selected>two<option>three</select> b", "a two b"),
+        ("a <select><option disabled>one<optgroup label=g><option>two</select> b", "a two b"),
+        ("a <select multiple><optgroup label=g><option>one<option label=two>x</optgroup><option hidden>no</select> b", "a g one two b"),
+        ("a <datalist><option>no</datalist> b", "a b"),
+        ("<head><title>t</title>text <b>b</b>", "text b"),
+        ("<head> <meta x> \n<body>text", "text"),
+        ("a <input value=one> <input type=email value=two> <input type=password value=no> <input type=checkbox value=no> <input type=submit value=go>", "a one two go"),
+        ("a <input type=hidden value=no><noscript>no</noscript> b", "a b"),
+    ],
+)
+def test_render_shown(page, text):
+    assert html_render.render(html_render.parse(page)) == text
+
+
+@pytest.mark.parametrize("page", ["<svg><g>" * 9000 + "<text>x", "<svg>" + "<g>" * 30000, "<select><option>" * 9000, "<math><mi>" * 9000, "<svg>" + "<a/>" * 20000, "<svg><foreignobject>" * 9000])
+def test_render_shown_deep(page):
+    html_render.render(html_render.parse(page))
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, None, None, 5), (2, "u", "<b>x</b>", 5), (2, "u", "<b>x</b>", 5)], "page_id long, url string, html string, text int")
     assert sorted(r.text for r in html_render.extract(df).collect()) == ["", "x", "x"]
