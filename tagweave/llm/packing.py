@@ -3,7 +3,9 @@
 Each document is tokenised once and cut into pieces of the sequence length; only its last piece is
 shorter. Pieces are dealt to randomised groups of bounded size, and every group runs first-fit
 decreasing on its own, finding the first bin with room by a tournament tree over the bins' free space.
-Only descriptions of pieces are shuffled, never texts or ids.
+Only descriptions of pieces are shuffled, never texts, and ids only where they are asked for. The group
+is a hash of the piece and of its row's position, so repeated rows spread over groups like others, and
+another order of the rows gives another packing.
 
 Null or empty texts are one piece that holds the closing id alone. Repeated rows are packed as often
 as they occur. An empty table gives an empty result. Columns other than the id and text are ignored.
@@ -125,7 +127,8 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 1024, end_
     group_pieces is the mean number of pieces that one group packs: it bounds a task's memory, and
     more of them leave less padding.
     """
-    pieces = materialize(cut(docs, tokenizer_path, sequence_length, end_id, with_ids), "pieces")
+    pieces = cut(docs, tokenizer_path, sequence_length, end_id, with_ids).withColumn("pack_row", F.monotonically_increasing_id())
+    pieces = materialize(pieces, "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -133,9 +136,9 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 1024, end_
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), sequence_length)
         return pdf.assign(sequence_id=pdf["pack_group"] * 2**32 + bins, offset=offsets).drop(columns="pack_group")
 
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "pack_row"), F.lit(groups))
     schema = PIECES + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
-    return pieces.withColumn("pack_group", group).groupBy("pack_group").applyInPandas(place, schema)
+    return pieces.withColumn("pack_group", group).drop("pack_row").groupBy("pack_group").applyInPandas(place, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

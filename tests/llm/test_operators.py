@@ -419,6 +419,12 @@ def test_pack(awkward, documents, empty, size):
     assert packing.pack(empty, PATH).count() == 0
 
 
+def test_repeated_rows_spread(spark):
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one and the same text").alias("text"))
+    groups = collections.Counter(r.sequence_id >> 32 for r in packing.pack(docs, PATH, 64, group_pieces=50).collect())
+    assert sum(groups.values()) == 3000 and max(groups.values()) < 150
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(4)
     for n in (0, 1, 2, 57, 400):
