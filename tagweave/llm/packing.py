@@ -13,8 +13,8 @@ as they occur. An empty table gives an empty result. Columns other than the id a
 
 from __future__ import annotations
 
-import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,36 +32,73 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 _encoders: dict = {}
 
 
+#: Characters of a text that are encoded at once, to the next place where words part.
+LONG = 1 << 20
+#: Between a character and a lone space before another, the split pattern always parts.
+_PARTING = re.compile(r"(?<=\S) (?=\S)")
+#: The split pattern of the tokenizers library's ByteLevel step, a fixed value.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
-    """Ids of a byte-level BPE file of the tokenizers library.
+    """Ids of a file of the tokenizers library.
 
-    The same vocabulary and merges run through tiktoken, which is four times as fast and gives the
-    same ids; texts that hold a special token's string go through the tokenizers library itself.
+    Where the file is plain byte-level BPE, the same vocabulary and merges run through tiktoken, which is
+    four times as fast and gives the same ids. Texts that hold a special token's string, texts on
+    which tiktoken gives up (runs of a million spaces) and files of another shape go through the
+    tokenizers library itself. A text longer than LONG goes in parts.
     """
 
     def __init__(self, path: str):
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        ranks = self._ranks(spec)
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.fast = tiktoken.Encoding("tagweave", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special = [x["content"] for x in spec.get("added_tokens") or ()]
+        self.plain = self._plain(spec)
+        self.fast = self._fast(spec) if self.plain else None
+
+    @staticmethod
+    def _plain(spec: dict) -> bool:
+        """Whether the file's steps are those that tiktoken goes through."""
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        as_bytes = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")
+        exact = not any(x.get(k) for x in spec.get("added_tokens") or () for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        return bool(model.get("type") == "BPE" and as_bytes and not spec.get("normalizer") and not any(model.get(k) for k in odd) and exact)
+
+    def _fast(self, spec: dict):
+        """tiktoken with the bytes of each ordinary entry. Printable bytes stand for themselves in the file, others for 256, 257 and so on."""
+        import tiktoken
 
-    def _ranks(self, spec: dict) -> dict[bytes, int]:
-        """Bytes of each ordinary entry. Printable bytes stand for themselves in the file, others for 256, 257 and so on."""
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        return {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
+        ranks = {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
+        return tiktoken.Encoding("tagweave", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+        if not self.plain or any(s in text for s in self.special):
+            return self._slowly(text)
+        if len(text) <= LONG:
+            return self._part(text)
+        parts, at = [], 0
+        while at < len(text):
+            found = _PARTING.search(text, at + LONG)
+            end = found.start() if found else len(text)
+            parts.append(self._part(text[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+    def _part(self, text: str) -> np.ndarray:
+        try:
+            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+        except ValueError:  # the stack that its regular expressions have is used up
+            return self._slowly(text)
+
+    def _slowly(self, text: str) -> np.ndarray:
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def encoder(path: str) -> Encoder:
@@ -141,6 +178,14 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 1024, end_
     return pieces.withColumn("pack_group", group).drop("pack_row").groupBy("pack_group").applyInPandas(place, schema)
 
 
+def padding(packed: DataFrame, sequence_length: int = 1024) -> float:
+    """The share of padding among all positions. A sequence whose length is a power of two is not padded."""
+    own = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    full = F.when(F.col("n").bitwiseAND(F.col("n") - 1) == 0, F.col("n")).otherwise(sequence_length)
+    of = own.agg(F.sum(full - F.col("n")), F.sum(full)).first()
+    return of[0] / of[1] if of[1] else 0.0
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The token ids of each sequence, from pieces packed with with_ids."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
