@@ -28,16 +28,18 @@ _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407
 _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
 
-_powers: dict[str, np.ndarray] = {}
+#: Bytes, or words, that are hashed at once: what is needed beside the result doesn't grow with the text.
+CHUNK = 1 << 18
 
 
-def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
-    """base to the powers 0 to n - 1; kept and lengthened as needed."""
-    if len(_powers.get(which, ())) < n:
-        grown = np.full(max(n, 1 << 20), base, np.uint64)
-        grown[0] = 1
-        _powers[which] = np.multiply.accumulate(grown)
-    return _powers[which]
+def _powers(base: int) -> np.ndarray:
+    """base to the powers 0 to CHUNK."""
+    grown = np.full(CHUNK + 1, base, np.uint64)
+    grown[0] = 1
+    return np.multiply.accumulate(grown)
+
+
+_UP, _DOWN = _powers(int(_BASE)), _powers(int(_BASE_INVERSE))
 
 
 @dataclass
@@ -61,26 +63,58 @@ class Words:
 
 def run_hash(word_hash: np.ndarray, n: int) -> np.ndarray:
     """For each place where n words follow, a hash of those n words in order."""
-    powers = _power("up", _BASE, len(word_hash) + 1)[: len(word_hash) + 1]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hash * powers[:-1], dtype=np.uint64)])
-    down = _power("down", _BASE_INVERSE, len(word_hash) + 1)
-    return mixed((sums[n:] - sums[:-n]) * down[: len(word_hash) - n + 1] + np.uint64(n))
+    if n > CHUNK // 2:  # as many as that at one place only, in practice
+        return np.concatenate([spans_hash(word_hash[i : i + n], np.array([0]), np.array([n])) for i in range(len(word_hash) - n + 1)] or [np.empty(0, np.uint64)])
+    out = np.empty(max(0, len(word_hash) - n + 1), np.uint64)
+    step = CHUNK - n + 1
+    for i in range(0, len(out), step):
+        some = word_hash[i : i + CHUNK]
+        sums = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(some * _UP[: len(some)], out=sums[1:])
+        got = (sums[n:] - sums[:-n]) * _DOWN[: len(some) - n + 1]
+        out[i : i + len(got)] = mixed(got + np.uint64(n))
+    return out
+
+
+def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each span of values (starts and ends in order), what run_hash() gives for that many."""
+    return mixed(_spans(values, start, end) + (end - start).astype(np.uint64))
+
+
+def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """The sum of value times base to its place in the span, for spans with starts and ends in order. table: what a value stands for."""
+    out = np.zeros(len(start), np.uint64)
+    for i in range(0, len(values), CHUNK):
+        some = values[i : i + CHUNK]
+        low, high = np.searchsorted(end, i, "right"), np.searchsorted(start, i + len(some), "left")
+        if low >= high:
+            continue
+        sums = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum((some if table is None else table[some]) * _UP[: len(some)], out=sums[1:])
+        first, last = np.maximum(start[low:high] - i, 0), np.minimum(end[low:high] - i, len(some))
+        part = (sums[last] - sums[first]) * _DOWN[first]
+        for j in np.flatnonzero(start[low:high] < i):  # what goes on from the chunk before
+            part[j : j + 1] *= np.uint64(pow(int(_BASE), int(i - start[low + j]), 2**64))
+        out[low:high] += part
+    return out
 
 
 def words(texts: list[bytes], lower: bool = False) -> Words:
     """lower: hash A-Z as a-z."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
-    start, end = edge[0::2], edge[1::2]
-    length = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    text_end = np.cumsum(length + 1)
+    starts, ends, before = [], [], True
+    for i in range(0, len(data), CHUNK):
+        space = _SPACE[data[i : i + CHUNK]]
+        edge = np.flatnonzero(np.diff(space, prepend=before)) + i
+        starts.append(edge[~space[edge - i]])
+        ends.append(edge[space[edge - i]])
+        before = space[-1]
+    none = np.empty(0, np.int64)
+    start, end = np.concatenate([none, *starts]), np.concatenate([none, *ends])
+    text_end = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     first = np.concatenate([[0], np.searchsorted(start, text_end)])
-    of = np.repeat(np.arange(len(texts)), np.diff(first))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((_LOWER if lower else _BYTES)[data] * _power("up", _BASE, len(data))[: len(data)], out=sums[1:])
-    hashed = mixed((sums[end] - sums[start]) * _power("down", _BASE_INVERSE, len(data))[start] + (end - start).astype(np.uint64))
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
+    hashed = mixed(_spans(data, start, end, _LOWER if lower else _BYTES) + (end - start).astype(np.uint64))
     return Words(data, start, end, of, first, hashed)
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -350,9 +351,67 @@ def test_join_awkward(awkward, empty):
     assert jaccard.join_components(empty).count() == 0
 
 
-def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    assert {(r.node, r.root) for r in jaccard.components(edges).collect()} == {(i, 0) for i in range(1, 61)} | {(101, 100)}
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components_of_a_chain(spark, most):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long").repartition(5)
+    assert {(r.node, r.root) for r in jaccard.components(edges, most).collect()} == {(i, 0) for i in range(1, 61)} | {(101, 100)}
+    assert jaccard.components(edges.where("false"), most).count() == 0
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_similar_sets_share_a_signature(num):
+    rng, bands, tried = np.random.default_rng(6), jaccard.Bands(num, 100), 0
+    for _ in range(1500):
+        x = np.unique(rng.integers(0, 2**63, rng.integers(2, 300), dtype=np.uint64))
+        gone, new = rng.integers(0, 1 + len(x) * (100 - num) // 100, 2)
+        y = np.unique(np.concatenate([x[rng.permutation(len(x))[gone:]], rng.integers(0, 2**63, new, dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= num * (len(x) + len(y) - both) and both < max(len(x), len(y)):
+            sigs, of = jaccard.signatures([x, y], bands)
+            assert set(sigs[of == 0]) & set(sigs[of == 1])
+            tried += 1
+    assert tried > 500
+
+
+def test_subsets_of_parts_are_enumerated():
+    bands = jaccard.Bands(80, 100)
+    s = np.unique(np.random.default_rng(1).integers(0, 2**63, 300, dtype=np.uint64))
+    band = bands.of(np.array([300]))
+    sigs, _, _ = jaccard.enumerated([s], band, bands, 0)
+    assert len(set(sigs)) == len(sigs) > 0.8 * bands.parts[band[0]] * jaccard.SUBPARTS
+    fewer, _, _ = jaccard.enumerated([s[1:]], band, bands, 0)  # one shingle is in one subpart, and so in all but one subset of its part
+    assert len(set(sigs) - set(fewer)) == jaccard.SUBPARTS - 1
+
+
+def test_all_links(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (3, "else " * 3), (4, None)]
+    for k in range(30):
+        words = list(base)
+        for i in rng.choice(300, rng.integers(1, 12), replace=False):
+            words[i] = f"v{k}_{i}"
+        rows.append((10 + k, " ".join(words)))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for d, t in rows}
+    alike = {(a, b) for a in sets for b in sets if a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    members, pairs = jaccard.all_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in members.collect()}
+    assert {d: r.n_links for d, r in got.items()} == {d: sum(a == d for a, _ in alike) for d in sets}
+    assert got[2].class_id == 1 and got[4].class_id == 4
+    assert {(r.class_a, r.class_b) for r in pairs.collect()} == {(a, b) for a, b in alike if a < b and 2 not in (a, b)}
+
+
+def test_hot_signature_is_cut_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    opened = spark.range(30).selectExpr("7L AS sig", "id AS fp", "10L AS n", "id AS root", *(f"0L AS {c}" for c in jaccard.SKETCH))
+    assert {tuple(r) for r in jaccard._pairs(opened, 80, 100).collect()} == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+
+
+def test_one_of_each_keeps_texts_of_one_id(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "h i j k l m n"), (2, "a b c d e f g"), (None, "o p q"), (None, "r s t"), (None, "r s t"), (3, ""), (3, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, _id int, text_hash int"))
+    assert kept.columns == ["doc_id", "text", "_id", "text_hash"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "a b c d e f g"), (1, "h i j k l m n"), (None, "o p q"), (None, "r s t"), (3, ""), (3, "")], key=str)
 
 
 # 8
@@ -397,6 +456,31 @@ def test_encoder_is_the_tokenizers(documents):
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 10**6, "a" * 10**6, "\n" * 10**6, "word  and\n\n 12 don't " * 120_000, "x" + " " * 1_100_000 + "y z " * 30])
+def test_encoder_long_texts(text):
+    encode = packing.encoder(PATH)
+    assert encode(text).tolist() == encode.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_of_another_shape(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    other = packing.Encoder(str(path))
+    assert not other.plain and other("a b").tolist() == other.slow.encode("a b", add_special_tokens=False).ids != packing.encoder(PATH)("a b").tolist()
+
+
+def test_padding(spark):
+    rows = [(1, 600), (1, 424), (2, 512), (3, 1000)]  # full; a power of two; 24 short
+    assert packing.padding(spark.createDataFrame(rows, "sequence_id long, length long")) == 24 / (1024 + 512 + 1024)
+
+
+def test_little_padding(documents):
+    assert packing.padding(packing.pack(documents, PATH)) < 0.01  # one group, whose last sequence has room
+
+
 @pytest.mark.parametrize("size", [64, 1024])
 def test_pack(awkward, documents, empty, size):
     for df in (documents, awkward):
