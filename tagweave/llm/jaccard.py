@@ -197,15 +197,17 @@ def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, members: DataFrame, n: int, wide: bool = False) -> DataFrame:
-    """fp, size n and set of members (fp, _who), from the text of document _who; or, if wide, a sketch of WIDE bits for the set."""
-    texts = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_who"))
+    """fp, size n and set of members (fp, _who, _text), from the text of document _who whose hash is _text; or, if wide, a sketch of WIDE bits for the set."""
+    texts = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_who"), text_hash().alias("_text"))
 
     def make(state, texts, ids, expected):
-        found = [(fp, s) for fp, s in zip(expected, shingle_sets(texts, n), strict=True) if fingerprint(s) == fp]
+        seen = state.setdefault("seen", set())
+        fresh = [i for i, fp in enumerate(expected) if not (fp in seen or seen.add(fp))]
+        found = [(expected[i], s) for i, s in zip(fresh, shingle_sets([texts[i] for i in fresh], n), strict=True) if fingerprint(s) == expected[i]]
         given = sketches([s for _, s in found], WIDE) if wide else [s.view(np.int64) for _, s in found]
         return [pa.array([fp for fp, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array(list(given), pa.list_(pa.int64()))]
 
-    return _over_texts(texts.join(few(members.select("_who", "fp")), "_who"), make, "fp long, n long, shingles array<long>", "fp")
+    return _over_texts(texts.join(few(members.select("_who", "_text", "fp")), ["_who", "_text"]), make, "fp long, n long, shingles array<long>", "fp")
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +288,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, members: DataFrame, wide: DataFr
 
     likely = materialize(_compared(pairs, wide, by_sketch), "likely", narrow=True)
     needed = likely.select(F.col("a").alias("fp")).union(likely.select(F.col("b").alias("fp"))).distinct()
-    needed = materialize(members.select("fp", "_who").join(needed, "fp", "left_semi"), "needed", narrow=True)
+    needed = materialize(members.select("fp", "_who", "_text").join(needed, "fp", "left_semi"), "needed", narrow=True)
     sets = materialize(sets_of(docs, needed, n), "sets")
     out = materialize(_compared(likely, sets, by_set), "links", narrow=True)
     drop(likely, needed, sets)
@@ -330,8 +332,8 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, every: bo
     """
     documents = materialize(classes_of(docs, n), "classes")
     met = meeting(docs, n, num, den)
-    who = F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("_who")
-    classes = documents.where("fp != 0").groupBy("fp").agg(who, F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in SKETCH))
+    who = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_who"), F.col("text_hash").alias("_text"))).alias("who")
+    classes = documents.where("fp != 0").groupBy("fp").agg(who, F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in SKETCH)).select("fp", "who.*", "n", *SKETCH)
     members = materialize(classes.join(met.select("fp").distinct(), "fp", "left_semi"), "members", narrow=True)
     wide = materialize(sets_of(docs, members, n, wide=True), "wide")
     described = members.select("fp", "n", *SKETCH)
