@@ -540,15 +540,35 @@ def brute_repeats(docs, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("window", "seed"), [(35, 8), (9, 4)])
-def test_repeats(spark, documents, awkward, window, seed):
+@pytest.mark.parametrize(("window", "seed", "group", "tree"), [(35, 8, 2000, 6000), (9, 4, 3, 50), (35, 8, 0, 10)])
+def test_repeats(spark, documents, awkward, window, seed, group, tree):
     shared = " ".join(f"p{i}" for i in range(60))
     planted = [(50_000 + k, f"a{k} b{k} " * k + " ".join(shared.split()[k % 7 : 60 - k % 5]) + f" c{k}" * 9) for k in range(40)]
     for rows in (collected(documents) + planted, collected(awkward)):
-        got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window, seed).collect()
+        got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window, seed, group=group, tree=tree).collect()
         assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, window)
 
 
+def test_repeats_without_ids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None, " ".join(rng.choice(list("ab"), 60))) for _ in range(40)] + [(None, "x " * 50)] * 3 + [(7, "y " * 34), (7, "z " * 40 + "end")]
+    got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 9, 4).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, 9)
+
+
+def test_deep_nodes():
+    rng = np.random.default_rng(8)
+    lists = [rng.integers(0, 2, rng.integers(6, 30)).astype(np.uint64) for _ in range(50)]
+    count = collections.Counter(tuple(x[i : i + 6]) for x in lists for i in range(len(x) - 5))
+    for x, deep in zip(lists, substrings.deep_nodes(lists, 6), strict=True):
+        assert deep.tolist() == [count[tuple(x[i : i + 6])] > 1 for i in range(len(x) - 5)]
+
+
+def test_clashing_keys_are_salted_anew(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "text_classes", lambda docs, salt, of=substrings.text_classes: of(docs, salt).withColumn("key", F.lit(1).cast("long")) if salt < 2 else of(docs, salt))
+    assert substrings.sound_classes(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))[1] == 2
+
+
 def test_repeats_text(awkward, empty):
     rows = substrings.without_repeats(awkward, with_text=True).collect()
     assert {r.kept_text for r in rows if r.n_removed and r.n_removed == r.n_words} == {""}
