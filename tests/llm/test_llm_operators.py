@@ -133,26 +133,81 @@ def test_extract(spark):
 # 3
 
 
+def recall_of(rows, x, ids, queries, k=20):
+    """The share of true neighbours found; every score is exact and ranks are in order."""
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    at, hit, total = {int(v): i for i, v in enumerate(ids)}, 0, 0
+    for q in queries:
+        s = (x * x[at[q]]).sum(1)
+        s[ids == q] = -np.inf
+        want = ids[np.lexsort((ids, -s))[:k]]
+        own = sorted(got[q])
+        assert [n for n, _, _ in own] == list(range(1, len(own) + 1)) and all(np.abs(s[ids == v] - score).min() < 1e-12 for _, v, score in own)
+        assert [(-score, v) for _, v, score in own] == sorted((-score, v) for _, v, score in own)
+        hit += len({v for _, v, _ in own} & set(want.tolist()))
+        total += len(want)
+    return hit / total
+
+
+def as_vectors(spark, x, ids=None):
+    return ann.taking_part(spark.createDataFrame([(int(i), list(map(float, v))) for i, v in zip(range(len(x)) if ids is None else ids, x, strict=True)], "vec_id long, embedding array<double>"))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16)).astype(np.float32)
     x[200:300] = x[7]  # many equal vectors, so ties
     rows = [(i, list(map(float, v)), 1) for i, v in enumerate(x)]
-    rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [None] + [1.0] * 15, 1), (1003, [math.nan] + [1.0] * 15, 1), (1004, [math.inf] + [1.0] * 15, 1), (1005, [1.0, 2.0], 1)]
+    rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [None] + [1.0] * 15, 1), (1003, [math.nan] + [1.0] * 15, 1), (1004, [math.inf] + [1.0] * 15, 1), (1005, [1.0, 2.0], 1), (1020, [1.0, 3.0], 1), (1040, [1.0], 1), (11, [float(v) for v in x[7]], 1)]
     vectors = ann.taking_part(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int"))
-    got = collections.defaultdict(list)
-    for r in ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    d, hit, total = x.astype(float), 0, 0
-    for q in range(0, 600, 20):
-        s = (d * d[q]).sum(1)
-        s[q] = -np.inf
-        want = np.lexsort((np.arange(600), -s))[:20]
-        assert len(got[q]) == 20 and all(abs(s[i] - v) < 1e-12 for i, v in got[q])
-        assert [(-v, i) for i, v in got[q]] == sorted((-v, i) for i, v in got[q])
-        hit += len({i for i, _ in got[q]} & set(want))
-        total += 20
-    assert hit / total >= 0.9 and not set(got) - set(range(0, 600, 20))
+    got = ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0")).collect()
+    ids, all_x = np.append(np.arange(600), 11), np.vstack([x, x[7:8]]).astype(float)
+    assert recall_of([r for r in got if r.query_id < 1000], all_x, ids, range(0, 600, 20)) >= 0.9
+    assert {r.query_id for r in got} == {*range(0, 600, 20), 1020}
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 1020] == [(1005, 7.0)]
+
+
+def clustered(n, size=32, clusters=150):
+    rng = np.random.default_rng(5)
+    return rng.normal(size=(clusters, size))[rng.integers(0, clusters, n)] * 2 + rng.normal(size=(n, size)) * 0.5
+
+
+@pytest.mark.parametrize(("n", "lists"), [(3000, 200), (9000, 300)])
+def test_neighbours_by_few_lists(spark, n, lists):
+    x = clustered(n)
+    vectors = as_vectors(spark, x)
+    index, rows = ann.build(vectors, lists)
+    assert len(index.centroids) > 0.9 * lists and index.probes < 0.2 * lists and len(set(index.group.tolist())) < lists / 4 + 2
+    queries = vectors.where("vec_id % 100 = 0")
+    assert recall_of(ann.search(index, rows, queries).collect(), x, np.arange(n), range(0, n, 100)) >= 0.9
+    assert recall_of(ann.search(index, rows, queries.where("vec_id % 500 = 0"), exact=True).collect(), x, np.arange(n), range(0, n, 500)) == 1.0
+
+
+def test_neighbours_without_clusters(spark):
+    x = np.random.default_rng(6).normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = as_vectors(spark, x)
+    index, rows = ann.build(vectors, 200)
+    assert index.probes < 200  # more lists than probes
+    assert recall_of(ann.search(index, rows, vectors.where("vec_id % 100 = 0")).collect(), x, np.arange(6000), range(0, 6000, 100)) >= 0.9
+
+
+def test_neighbours_in_a_hot_list(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    x = clustered(1500, clusters=3)
+    vectors = as_vectors(spark, x)
+    index, rows = ann.build(vectors, 3)
+    got = ann.search(index, rows, vectors.where("vec_id % 20 = 0"), probes=3).collect()
+    assert recall_of(got, x, np.arange(1500), range(0, 1500, 20)) >= 0.95
+
+
+def test_split_twice():
+    x = clustered(5000)
+    lists = ann.split_twice(x, 400)
+    assert 300 < len(lists) < 500 and len(np.unique(ann.nearest(x, lists))) > 0.9 * len(lists)
 
 
 def test_neighbours_few(spark):
