@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame functions only.
 
 A source takes whole epochs of its documents while its target allows, then a weighted sample for the
-rest: every document draws an exponential key -ln(u)/quality, where u is a hash of its id, and the
-smallest keys win until the budget is spent. The last document taken is cut at a word.
+rest: every document draws an exponential key -ln(u)/quality, where u is a hash of its id (of its text, if it has
+none), and the smallest keys win until the budget is spent. The last document taken is cut after a word.
 
-Keys are never sorted over a whole source. A source's key range is cut into buckets; sums by bucket
-show in which one the budget ends, and only that one is sorted. So a source that holds a third of all
-rows is no longer than others in any task.
+Keys are never sorted over a whole source. A source's keys are cut into buckets by their logarithm, BUCKETS for
+each doubling; sums by bucket show in which one the budget ends, and only that one is sorted. The logarithm of an
+exponential key lies in any one bucket with a probability of at most ln 2 / (e BUCKETS), 0.1 %, whatever the quality, which
+only shifts it. So a source that holds a third of all rows is no longer than others in any task.
 
 Sizes are words; null and empty texts have size 0 and take no words. A null source is a source of
-its own, last in order. Ties of keys go by id; repeated rows are documents of their own. An empty
-table gives an empty result. Extra columns pass through untouched.
+its own, last in order. Ties of keys go by id, size and hash of the text; repeated rows are documents of their own. A
+quality that is null counts as 1, and one below 1e-9 as that. An empty
+table gives an empty result. Extra columns of documents pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.common import WORD, materialize
 
-#: Parts into which a source's keys are cut.
-BUCKETS = 4096
+#: Parts into which the keys from one number to its double are cut.
+BUCKETS = 256
 #: ASCII punctuation and digits.
 SYMBOLS = r"[!-@\[-`{-~]"
 
@@ -32,15 +34,20 @@ def text_quality(text: Column) -> Column:
     return F.coalesce(1.0 / (1.0 + 8.0 * share), F.lit(1.0))
 
 
+KEYED = ("_mix_size", "_mix_key", "_mix_bucket", "_mix_hash")
+
+
 def keyed(docs: DataFrame, seed: str = "", quality: Column | None = None) -> DataFrame:
-    """docs with each document's size, sampling key and key bucket."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 13)
+    """docs with each document's size, sampling key, key bucket and hash of the text."""
+    text = F.col("text")
+    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), text, F.lit(""))).cast("binary")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(2**52)
-    weight = text_quality(F.col("text")) if quality is None else quality
+    weight = text_quality(text) if quality is None else F.greatest(F.coalesce(quality, F.lit(1.0)), F.lit(1e-9))
     return (
         docs.withColumn("_mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
         .withColumn("_mix_key", -F.log(u) / weight)
-        .withColumn("_mix_bucket", F.floor(F.lit(BUCKETS) * (1.0 - F.exp(-F.col("_mix_key")))).cast("int"))
+        .withColumn("_mix_bucket", F.floor(F.lit(BUCKETS) * F.log2("_mix_key")).cast("int"))
+        .withColumn("_mix_hash", F.xxhash64(text))
     )
 
 
@@ -87,17 +94,17 @@ def budgets(sums: DataFrame, weights: tuple[int, ...], share: float, most_epochs
         .select("_source", F.col("_mix_bucket").alias("_cut"), (F.col("_rest") - (F.col("_upto") - F.col("_size"))).alias("_left"))
     )
     found = per_source.join(hit, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return materialize(found.select(F.col("source").alias("_mix_source"), "source_size", "target", "_epochs", F.coalesce("_cut", F.lit(-1)).alias("_cut"), F.coalesce("_left", F.lit(0)).alias("_left")), "budgets", narrow=True)
+    return materialize(found.select(F.col("source").alias("_mix_source"), "source_size", "target", "_epochs", F.coalesce("_cut", F.lit(-(2**31))).alias("_cut"), F.coalesce("_left", F.lit(0)).alias("_left")), "budgets", narrow=True)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most_epochs: int = 3) -> DataFrame:
     """docs, as keyed() gives them (materialized, as they are read three times), with source_size, target and taken: words that the mix takes, repeats counted.
 
-    Clashing columns of docs named source_size, target or taken are replaced.
+    Clashing columns of docs named source_size, target or taken are replaced; mixed_documents() keeps them.
     """
     docs = docs.drop("source_size", "target", "taken")
     rows = docs.join(budgets(bucket_sums(docs), weights, share, most_epochs), F.col("source").eqNullSafe(F.col("_mix_source")))
-    order = Window.partitionBy("source").orderBy("_mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("_mix_key", "doc_id", "_mix_size", "_mix_hash").rowsBetween(Window.unboundedPreceding, -1)
     at_cut = rows.where(F.col("_mix_bucket") == F.col("_cut")).withColumn("_prior", F.coalesce(F.sum("_mix_size").over(order), F.lit(0)))
     others = rows.where(F.col("_mix_bucket") != F.col("_cut")).withColumn("_prior", F.lit(0).cast("long"))
     size, at = F.col("_mix_size"), F.col("_mix_bucket")
@@ -105,14 +112,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
     return others.unionByName(at_cut).withColumn("taken", F.col("_epochs") * size + part).drop("_mix_source", "_epochs", "_cut", "_left", "_prior")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text to the end of its n-th word, with the white space that stands before each."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*+{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
 def mixed_documents(docs: DataFrame, seed: str = "", **how) -> DataFrame:
     """The rows of the mix itself: a document as often as it is taken, the last copy cut to the words that are left."""
     names = docs.columns
-    taken = mix(materialize(keyed(docs, seed), "keyed"), **how)
+    own = docs.select(F.struct(*(docs[c] for c in names)).alias("_row"), "doc_id", "text", "source")
+    taken = mix(materialize(keyed(own, seed), "keyed"), **how)
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("_mix_size"))))
-    copies = taken.where(F.col("taken") > 0).select(*names, "_mix_size", "taken", copy.alias("_copy"))
+    copies = taken.where(F.col("taken") > 0).select("_row", "text", "_mix_size", "taken", copy.alias("_copy"))
     words = F.least(F.col("_mix_size"), F.col("taken") - (F.col("_copy") - 1) * F.col("_mix_size"))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), words.cast("int")), " ")
-    text = F.when(words == F.col("_mix_size"), F.col("text")).otherwise(first)
-    out = copies.withColumn("text", text)
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out).select(*names)
+    copies = copies.select("_row", F.when(words == F.col("_mix_size"), F.col("text")).otherwise(first_words(F.col("text"), words)).alias("_text"))
+    changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return copies.select(*(changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in names))

@@ -16,14 +16,14 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = mixing.keyed(table(spark, sf_dir, "documents"))
-    mixed = mixing.mix(materialize(keyed.select("doc_id", "source", "_mix_size", "_mix_key", "_mix_bucket"), "keyed"))
+    mixed = mixing.mix(materialize(keyed.select("doc_id", "source", *mixing.KEYED), "keyed"))
     return mixed.select("doc_id", F.col("_mix_size").alias("size"), "source_size", "target", "taken")
 
 
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
     coalesce(1.0::DOUBLE / (1.0::DOUBLE + 8.0::DOUBLE * (length(text) - length(regexp_replace(text, '[!-@\[-`{-~]', '', 'g')))::DOUBLE / greatest(length(text), 1)::DOUBLE), 1.0::DOUBLE) AS weight
   FROM documents),
 ranked AS (
@@ -39,7 +39,7 @@ budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM goals),
 ordered AS (
   SELECT s.doc_id, s.size, b.source_size, b.target, b.epochs, round(b.target)::BIGINT - b.epochs * b.source_size AS rest,
-    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY -ln(u) / weight, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY -ln(u) / weight, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
   FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - prior)))::BIGINT AS taken FROM ordered
 """

@@ -62,6 +62,28 @@ def test_mix_awkward(awkward, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_mix_keeps_own_columns_and_lines(spark):
+    text = "one two\n  three\tfour\n\nfive six seven\n"
+    rows = [(i, text, f"s{i % 2}", -7.0, "mine", i) for i in range(41)]
+    mixed = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, target double, taken string, source_size int"), weights=(1, 5)).collect()
+    assert mixed and all((r.target, r.taken, r.source_size) == (-7.0, "mine", r.doc_id) for r in mixed)
+    assert all(r.text == text or text.startswith(r.text) for r in mixed) and any(r.text != text for r in mixed)
+
+
+def test_mix_buckets_are_even(spark):
+    docs = spark.range(40000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("s").alias("source"))
+    for quality in (1.0, 0.2, 0.01):
+        largest = mixing.keyed(docs, quality=F.lit(quality)).groupBy("_mix_bucket").count().agg(F.max("count")).first()[0]
+        assert largest < 0.002 * 40000
+
+
+def test_mix_reruns_agree_on_ties(spark):
+    rows = [(7, " ".join("w" * (1 + i % 3) for _ in range(1 + i % 5)), "s") for i in range(60)] + [(None, f"n{i} " * (1 + i % 4), "s") for i in range(60)] + [(i, "z", "t") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = [sorted(((r.doc_id, r.text) for r in mixing.mixed_documents(docs.repartition(n)).collect()), key=str) for n in (1, 5)]
+    assert seen[0] == seen[1]
+
+
 # 2
 
 

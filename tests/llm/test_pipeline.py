@@ -67,7 +67,7 @@ def test_run_against_plain_stages(spark):
     encode, want = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")), collections.Counter()
     for d, text, _ in rows:
         n, size = taken[d]
-        texts = [text] * (n // size) + [" ".join(re.findall(WORD, text)[: n % size])] * (n % size > 0) if n else []
+        texts = [text] * (n // size) + ["".join(re.findall(rf"[\x20\x09-\x0D]*{WORD}", text)[: n % size])] * (n % size > 0) if n else []
         for ids in ([*encode(t).tolist(), 0] for t in texts):
             want.update((d, i, tuple(ids[i : i + 1024])) for i in range(0, len(ids), 1024))
     packed = corpus_pipeline.run(spark, FOLDER)
