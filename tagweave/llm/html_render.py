@@ -2,24 +2,27 @@
 
 Tags are read in one pass; the tree builder closes paragraphs, list items, table cells and the like
 where the next tag implies their end, supplies table rows, and ignores end tags that match nothing.
-Elements that are never shown (scripts, styles, templates, metadata), hidden by attribute, by inline
-style or by a closed <details> are dropped, and what stands in for media or frames. Of an <svg> its texts are
+Elements that are never shown (scripts, styles, templates, metadata), hidden by attribute, by display in an inline
+style or by a closed <details> are dropped; text that visibility hides is, unless an element within is visible again, and what stands in for media or frames. Of an <svg> its texts are
 read, of a <select> the options that it shows, of an <input> the value; placeholders and passwords are not. Blocks stand on lines of their own, paragraphs and headings
 apart by a blank line; list items get markers and indents, preformatted text keeps its spaces, and the
-cells of a table's columns are padded to equal widths.
+cells of a table's columns, in the places that spans leave them, are padded to equal widths. Lists are indented for DEEPEST
+levels and go on at that indent, or the spaces alone would grow with the square of the page.
 
 Null or empty pages give an empty text and title. A quote opens a value only after an equals sign, so a
 stray one ends nothing and opens nothing; a tag that never ends drops the rest, as browsers do.
-Nesting may be of any depth. Each page is read whole; pages are independent, so nothing is shuffled.
+Nesting may be of any depth; what a tag ends is found by its place, not by a walk, so time is in proportion to the page, but for tables within tables, whose lines each table around
+them lays out again, and for cells that many rows hold. Each page is read whole; pages are independent, so nothing is shuffled.
 Repeated rows are rendered alike. An empty table gives an empty result. Columns other than the id, url
 and html are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +41,9 @@ _ATTRIBUTE = re.compile(rf"""({_KEY})(?:{_GAP}={_GAP}(?:"([^"]*+)"|'([^']*+)'|({
 #: An unquoted value to the end: its last stroke closes nothing.
 _VALUE_LAST = re.compile(r"""=[ \t\n\r\f]*+[^ \t\n\r\f>"']++$""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+#: Columns and rows that a cell spans at most, by the HTML standard.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 #: Levels of lists and quotations that are indented; deeper ones stay at that indent.
 DEEPEST = 24
@@ -94,11 +99,16 @@ class Builder:
         self.root = Node("#root")
         self.open = [self.root]
         self.foreign = [0]  # for each open element, the place of the <svg> or <math> that its children are in; 0 in HTML
-        self.count: Counter[str] = Counter()  # open elements by tag, so that what isn't open is not looked for
+        self.places: dict[str, list[int]] = {}  # of open elements, by tag
+
+    def _last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags; 0 if none is open."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
 
     def _drop(self, i: int) -> None:
         """End the open elements from i on."""
-        self.count.subtract(n.tag for n in self.open[i:])
+        for node in self.open[i:]:
+            self.places[node.tag].pop()
         del self.open[i:], self.foreign[i:]
 
     def text(self, data: str) -> None:
@@ -110,15 +120,9 @@ class Builder:
 
     def _close(self, inner: set[str], until: frozenset[str] | set[str]) -> None:
         """End the open elements of inner that are within until, and all in them."""
-        if not any(self.count[t] for t in inner):
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in until:
-                break
-            if self.open[i].tag in inner:
-                self._drop(i)
-                self._close(inner, until)
-                break
+        bound = self._last(*until)
+        while (at := self._last(*inner)) > bound:
+            self._drop(at)
 
     def start(self, tag: str, attributes: str) -> bool:
         """Whether the element is open now or void by its name, so that what follows is read by its rules."""
@@ -140,25 +144,19 @@ class Builder:
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.foreign.append(len(self.open) if tag in ("svg", "math") else 0 if tag in HOLDS_HTML else self.foreign[-1])
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
-            self.count[tag] += 1
         return True
 
     def end(self, tag: str) -> None:
-        if tag == "p" and not self.count["p"]:
+        if tag == "p" and not self._last("p"):
             self.start("p", "")
         if tag == "br":
             self.start("br", "")
             return
-        if not self.count[tag]:
-            return
-        bound = {"table"} if tag not in ("table", "html", "body") else set()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self._drop(i)
-                return
-            if self.open[i].tag in bound:
-                return
+        at = self._last(tag)
+        if at > (0 if tag in ("table", "html", "body") else self._last("table")):
+            self._drop(at)
 
 
 def parse(page: str) -> Node:
@@ -205,20 +203,32 @@ def parse(page: str) -> Node:
     return builder.root
 
 
+def styled(node: Node, what: str) -> str | None:
+    """The value of display or visibility in an element's own style: the last one, or the last that is important."""
+    if "style" not in node.attributes.lower():
+        return None
+    found = [(bool(important), i, value.lower()) for i, (name, value, important) in enumerate(_DECLARED.findall(node.get("style") or "")) if name.lower() == what]
+    return max(found)[2] if found else None
+
+
 def hidden(node: Node) -> bool:
+    """Whether an element is left out with all that is in it."""
     if node.tag in UNSEEN:
         return True
-    a = node.attributes
-    if not a:
-        return False
-    lowered = a.lower()
-    if "hidden" in lowered and (node.get("hidden") is not None or (node.tag == "input" and (node.get("type") or "").lower() == "hidden")):
-        return True
-    if "style" in lowered and _HIDING.search(node.get("style") or ""):
-        return True
+    if node.attributes:
+        if "hidden" in node.attributes.lower() and (node.get("hidden") is not None or (node.tag == "input" and (node.get("type") or "").lower() == "hidden")):
+            return True
+        if styled(node, "display") == "none":
+            return True
     return node.tag == "dialog" and node.get("open") is None
 
 
+def veiled(node: Node, outer: bool) -> bool:
+    """Whether an element's own text is not seen: as visibility says, or else as around it."""
+    own = styled(node, "visibility") if node.attributes else None
+    return outer if own in (None, "inherit", "unset") else own in ("hidden", "collapse")
+
+
 def drawn(svg: Node) -> list:
     """The texts of an <svg> in order, apart by spaces, and the HTML that it holds."""
     out, stack = [], svg.children[::-1]
@@ -326,56 +336,96 @@ class Flow:
 
     def done(self) -> list[str]:
         out = [*self.lines, "".join(self.line).rstrip()] if self.line else self.lines
-        while out and not out[-1]:
-            out = out[:-1]
-        start = next((i for i, x in enumerate(out) if x), len(out))
-        return out[start:]
+        full = [i for i, x in enumerate(out) if x]
+        return out[full[0] : full[-1] + 1] if full else []
+
+
+def span_of(node: Node, name: str, most: int) -> int:
+    """Rows or columns that a cell spans; 0 rows are all that follow."""
+    value = re.match(r"[ \t\n\r\f]*([0-9]+)", node.get(name) or "")
+    n = min(int(value[1][:9]), most) if value else 1
+    return n or (most if name == "rowspan" else 1)
 
 
 class Grid:
+    """A table's cells, by the column that each begins in. held: for each column, the row up to which a cell from above holds it."""
+
     def __init__(self):
-        self.rows: list[list[list[str]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []
         self.caption: list[str] = []
+        self.held: dict[int, int] = {}
+        self.next = 0
+
+    def begin_row(self) -> None:
+        self.rows.append([])
+        self.next = 0
+        self.held = {c: r for c, r in self.held.items() if r > len(self.rows) - 1}
+
+    def put(self, node: Node, lines: list[str]) -> None:
+        if not self.rows:
+            self.begin_row()
+        while self.next in self.held:
+            self.next += 1
+        columns, rows = span_of(node, "colspan", MOST_COLUMNS), span_of(node, "rowspan", MOST_ROWS)
+        self.rows[-1].append((self.next, columns, lines))
+        if rows > 1:
+            self.held |= dict.fromkeys(range(self.next, self.next + columns), len(self.rows) - 1 + rows)
+        self.next += columns
 
     def lines(self) -> list[str]:
-        """Cells side by side, columns apart by two spaces and padded to their widest line."""
-        rows = [r for r in self.rows if any(r)]
-        widths: list[int] = []
-        for row in rows:
-            widths += [0] * (len(row) - len(widths))
-            for i, cell in enumerate(row):
-                widths[i] = max(widths[i], *map(len, cell), 0) if cell else widths[i]
+        """Cells side by side, columns apart by two spaces and padded to their widest line. A column in which nothing begins has no width."""
+        number = {c: i for i, c in enumerate(sorted({c for row in self.rows for c, _, _ in row}))}
+        begins = list(number)
+        widths = [0] * len(begins)
+        wide = []
+        for row in self.rows:
+            for c, columns, cell in row:
+                last = bisect.bisect_left(begins, c + columns) - 1
+                width = max(map(len, cell), default=0)
+                if last == number[c]:
+                    widths[last] = max(widths[last], width)
+                else:
+                    wide.append((number[c], last, width))
+        for i, last, width in wide:
+            widths[last] = max(widths[last], width - sum(widths[i:last]) - 2 * (last - i))
+        at = [0, *itertools.accumulate(w + 2 for w in widths)]
         out = list(self.caption)
-        for row in rows:
-            for k in range(max(map(len, row))):
-                out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip())
+        for row in self.rows:
+            for k in range(max((len(cell) for _, _, cell in row), default=0)):
+                line = ""
+                for c, _, cell in row:
+                    if k < len(cell) and cell[k]:
+                        line = line.ljust(at[number[c]]) + cell[k]
+                out.append(line.rstrip())
         return out
 
 
 def render(root: Node) -> str:
     """The visible text of a tree. Walks with a stack of its own, so depth is no limit."""
-    flows, grids, counters = [Flow()], [], []
+    flows, grids, counters, veils = [Flow()], [], [], [False]
     stack: list = [(root, False)]
     while stack:
         node, leaving = stack.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            flow.write(node)
+            if not veils[-1]:
+                flow.write(node)
             continue
         tag = node.tag
         if not leaving:
             if hidden(node):
                 continue
+            veil = veiled(node, veils[-1])
             if tag == "br":
                 flow.new_line() if flow.line or flow.lines else None
                 continue
             if tag == "hr":
                 flow.break_line(2)
-                flow.block(["---"])
+                flow.block(["---"] * (not veil))
                 flow.break_line(2)
                 continue
             if tag == "input":
-                if (node.get("type") or "text").lower() not in MUTE and node.get("value"):
+                if not veil and (node.get("type") or "text").lower() not in MUTE and node.get("value"):
                     flow.write(node.get("value"))
                 continue
             if tag in BLOCKS:
@@ -383,7 +433,7 @@ def render(root: Node) -> str:
             if tag == "table":
                 grids.append(Grid())
             elif tag == "tr" and grids:
-                grids[-1].rows.append([])
+                grids[-1].begin_row()
             elif tag in ("td", "th", "caption") and grids:
                 flows.append(Flow())
             elif tag in ("ul", "menu", "dir"):
@@ -396,11 +446,12 @@ def render(root: Node) -> str:
                 if counters and counters[-1] is not None:
                     marker, counters[-1] = f"{counters[-1]}. ", counters[-1] + 1
                 flow.indents.append(" " * len(marker))
-                flow.marker = marker
+                flow.marker = None if veil else marker
             elif tag in ("dd", "blockquote"):
                 flow.indents.append("  ")
             elif tag == "pre":
                 flow.pre += 1
+            veils.append(veil)
             stack.append((node, True))
             children = node.children
             if tag == "details" and node.get("open") is None:
@@ -411,15 +462,13 @@ def render(root: Node) -> str:
                 children = shown(node)
             stack.extend((c, False) for c in reversed(children))
             continue
+        veils.pop()
         if tag in ("td", "th", "caption") and grids and len(flows) > 1:
             lines = flows.pop().done()
             if tag == "caption":
                 grids[-1].caption = lines
             else:
-                if not grids[-1].rows:
-                    grids[-1].rows.append([])
-                span = node.get("colspan") or "1"
-                grids[-1].rows[-1] += [lines, *([[]] * (min(int(span), 100) - 1 if re.fullmatch("[0-9]{1,4}", span) and int(span) else 0))]
+                grids[-1].put(node, lines)
             continue
         if tag == "table" and grids:
             flows[-1].block(grids.pop().lines())

@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -141,6 +142,54 @@ def test_render_shown(page, text):
     assert html_render.render(html_render.parse(page)) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>b", "a\nyes\nb"),
+        ("<ul style='visibility:collapse'><li>no<li style='visibility:visible'>yes</ul>", "- yes"),
+        ("<p style='display:none;display:block'>yes</p><p style='display:block; DISPLAY : NONE'>no</p>", "yes"),
+        ("<p style='display:none !important;display:block'>no</p><p style='xdisplay:none'>yes</p>", "yes"),
+        ("<div style='visibility:hidden'>no<input value=no><div style='visibility:inherit'>no</div></div>b", "b"),
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf     g"),
+        ("<table><tr><td colspan=2>wide cell<td>x<tr><td>1<td>2<td>3</table>", "wide cell  x\n1  2       3"),
+        ("<table><tr><td colspan=5000>a<td>b<tr><td>c</table>", "a  b\nc"),
+        ("<table><tr><td rowspan=2 colspan=2>A<td>B<tr><td>C<tr><td>1<td>2<td>3</table>", "A     B\n      C\n1  2  3"),
+        ("<table><tr><td colspan=0>a<td>b<tr><td rowspan=x>c<td>d</table>", "a  b\nc  d"),
+    ],
+)
+def test_render_hidden_and_spans(page, text):
+    assert html_render.render(html_render.parse(page)) == text
+
+
+@pytest.mark.parametrize("make", [lambda n: "<p><object>" + "<div>" * n, lambda n: "<b><table><tr><td>" + "<i></b>" * n, lambda n: "<ul><li>" * n + "x", lambda n: "<br>" * n + "x" + "<br>" * n, lambda n: "<table>" + "<tr><td rowspan=3>a<td>b" * n])
+def test_render_in_proportion_to_the_page(make):
+    def took(n):
+        start = time.process_time()
+        html_render.render(html_render.parse(make(n)))
+        return time.process_time() - start
+
+    took(500)
+    assert min(took(16000) for _ in range(2)) < 8 * max(0.05, min(took(4000) for _ in range(3)))
+
+
+def plain_text(page):
+    """A page of a few tags, none of them left open, as text: what the tree builder and the layout must come to."""
+    out = re.sub(r"(?s)<(script|style)>.*?</\1>", "", page)
+    out = re.sub(r"<(/?)(p|h1)>", "\n\n", out)
+    out = re.sub(r"<(/?)div>|<br>", "\n", out)
+    out = re.sub(r"</?[bi]>", "", out)
+    lines = [re.sub(" +", " ", x).strip() for x in out.split("\n")]
+    return re.sub(r"\n\n+", "\n\n", re.sub(r"\n{2,}", lambda m: m[0], "\n".join(lines))).strip("\n")
+
+
+def test_render_against_plain():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        parts = [f"<{t}>{' '.join(rng.choice(['one', 'two', '<b>three</b>', 'f<i>ou</i>r'], rng.integers(1, 6)))}</{t}>" for t in rng.choice(["p", "h1", "script"], rng.integers(1, 7))]
+        assert html_render.render(html_render.parse("".join(parts))) == plain_text("".join(parts))
+
+
 @pytest.mark.parametrize("page", ["<svg><g>" * 9000 + "<text>x", "<svg>" + "<g>" * 30000, "<select><option>" * 9000, "<math><mi>" * 9000, "<svg>" + "<a/>" * 20000, "<svg><foreignobject>" * 9000])
 def test_render_shown_deep(page):
     html_render.render(html_render.parse(page))
