@@ -9,7 +9,7 @@ Labels mark documents, so lines get theirs in two rounds: first every line has i
 and a logistic model of a single line's features learns from them; then lines of bad documents which
 that model holds to be good count as good, and the field is trained on the result.
 
-The fit is on a bounded sample (SAMPLE documents); scoring covers whole texts of all documents in one
+The fit is on a bounded sample (SAMPLE documents, SAMPLE_BYTES of text), in one task; scoring covers whole texts of all documents in one
 pass without a shuffle. Null and empty texts, which have no line, get the prior share of good
 documents. Without labels of both kinds that prior is every score (1 if there are none). Repeated rows
 score alike. An empty table gives an empty result. Columns other than the id and text are ignored.
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm import textkit
-from tagweave.llm.common import held_out, materialize, prepare
+from tagweave.llm.common import held_out, prepare
 
-#: Labelled documents that the model is fitted on, at most.
-SAMPLE = 4000
+#: Labelled documents that the model is fitted on, at most, and bytes of their texts; the first document counts whole.
+SAMPLE, SAMPLE_BYTES = 4000, 16 << 20
 FEATURES = 14
 
 _UPPER, _LETTER, _SYMBOL, _DIGIT, _BAR = (np.zeros(256, np.uint8) for _ in range(5))
@@ -72,9 +72,10 @@ def lines_of(texts: list[bytes]) -> Lines:
     length = (end - begin).astype(float)
     count = np.diff(np.append(head, len(line))).astype(float)
 
+    edges = np.column_stack([begin, end]).ravel()
+
     def total(kind: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(kind[w.data], dtype=np.int64)])
-        return (sums[end] - sums[begin]).astype(float)
+        return np.add.reduceat(kind[w.data], edges, dtype=np.int64)[::2].astype(float)
 
     def shared(flag: np.ndarray) -> np.ndarray:
         return np.add.reduceat(flag.astype(float), head) / count
@@ -200,13 +201,29 @@ def train(texts: list[bytes], good: np.ndarray) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learns from labels of rows that are not held out."""
+    prepare(docs.sparkSession)
     own = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most `sample` ids
-    got = materialize(texts.select("doc_id", "quality", "text"), "quality-sample", narrow=True).orderBy("doc_id").toArrow()
-    return train([(t.as_py() or "").encode() for t in got["text"]], got["quality"].to_numpy())
+    rows = texts.select("quality", "text", "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks, left = [], [], sample_bytes
+        for b in batches:
+            for mark, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = (text.as_py() or "").encode()
+                left -= len(raw)
+                if left >= 0 or not texts:
+                    texts.append(raw)
+                    marks.append(mark)
+        m = train(texts, np.array(marks))
+        found = {"prior": m.prior, "weights": None if m.weights is None else m.weights.tolist(), "table": m.table.ravel().tolist(), "curve": list(m.curve)}
+        yield pa.RecordBatch.from_pylist([found], pa.schema([("prior", pa.float64()), *((c, pa.list_(pa.float64())) for c in ("weights", "table", "curve"))]))
+
+    r = rows.mapInArrow(trained, "prior double, weights array<double>, table array<double>, curve array<double>").first()
+    return Model(r.prior, None if r.weights is None else np.array(r.weights), np.array(r.table).reshape(2, 2), tuple(r.curve)) if r else Model()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

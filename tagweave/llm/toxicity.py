@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import held_out, materialize, prepare
+from tagweave.llm.common import drop, held_out, materialize, prepare
 
 #: Lengths of word beginnings that are features, beside the whole word.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     in_others = {r.f: r.n for r in sums(False, frozenset(in_positive)).toLocalIterator()}
     size = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
     if not size.get(True):  # no labelled toxic document is among docs
+        drop(sample)
         return Model()
     gain = {}
     for f, n in in_positive.items():
@@ -143,13 +144,19 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
                 sets.append([index[f] for w in words for f in word_features(w) if f in index])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(sets, pa.list_(pa.int32()))], names=["positive", "n", "f"])
 
-    got = sample.mapInArrow(indexed, "positive boolean, n int, f array<int>").toArrow()
-    positive = got["positive"].to_numpy()
-    lists = got["f"].combine_chunks()
-    cols, rows = lists.flatten().to_numpy(), np.repeat(np.arange(len(positive)), np.diff(lists.offsets.to_numpy()))
-    log_words = np.log1p(got["n"].to_numpy())
-    w = non_negative_fit(rows, cols, log_words, positive, len(names), prior, decay=DECAY / size[True])
-    return Model(float(w[-1]), float(w[-2]), {f: float(x) for f, x in zip(names, w, strict=False) if x})
+    decay = DECAY / size[True]
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(batches)
+        marks, lists = got["positive"].to_numpy(), got["f"].combine_chunks()
+        cols, rows = lists.flatten().to_numpy(), np.repeat(np.arange(len(marks)), np.diff(lists.offsets.to_numpy()))
+        w = non_negative_fit(rows, cols, np.log1p(got["n"].to_numpy()), marks, len(names), prior, decay=decay)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w)], names=["i", "w"])
+
+    # one task on the bounded sample's feature numbers, so that the driver holds weights only
+    w = {r.i: r.w for r in sample.mapInArrow(indexed, "positive boolean, n int, f array<int>").repartition(1).mapInArrow(trained, "i long, w double").collect()}
+    drop(sample)
+    return Model(w[len(names) + 1], w[len(names)], {f: w[i] for i, f in enumerate(names) if w[i]})
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
