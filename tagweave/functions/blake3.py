@@ -52,14 +52,15 @@ def digests(inputs: list[bytes]) -> list[bytes]:
     chunks = np.maximum(1, -(-sizes // CHUNK))
     first = np.concatenate([[0], np.cumsum(chunks)])
     total = int(first[-1])
-    data = np.zeros((total, CHUNK), np.uint8)
-    for i, x in enumerate(inputs):
-        data[first[i] : first[i + 1]].reshape(-1)[: len(x)] = np.frombuffer(x, np.uint8)
     of = np.repeat(np.arange(len(inputs)), chunks)
     number = np.arange(total) - first[of]
     held = np.minimum(CHUNK, sizes[of] - number * CHUNK)
     blocks = np.maximum(1, -(-held // BLOCK))
-    words = np.ascontiguousarray(data).view("<u4").reshape(total, 16, 16)
+    most = int(blocks.max())  # rows are as wide as the longest chunk
+    begin = np.cumsum(held) - held
+    data = np.zeros(total * most * BLOCK, np.uint8)
+    data[np.repeat(np.arange(total) * most * BLOCK - begin, held) + np.arange(int(sizes.sum()))] = np.frombuffer(b"".join(inputs), np.uint8)
+    words = data.view("<u4").reshape(total, most, 16)
     value = np.repeat(np.array(IV, np.uint32)[:, None], total, axis=1)
     single = chunks[of] == 1
     for b in range(int(blocks.max())):

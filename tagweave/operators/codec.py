@@ -1,8 +1,8 @@
 """Tagged items: `varint tag, type byte, varint length, value`.
 
 Encoding is a Column expression built from a column's data type, so it stays within generated code.
-Decoding walks the bytes with an explicit stack in an Arrow UDF and gives either a table of nodes or,
-for a known schema, typed columns.
+Decoding gives either a table of nodes or, for a known schema, typed columns. Objects of scalar fields in the
+schema's order are read field by field, numpy over all rows of a batch; other rows are walked with an explicit stack.
 
 mode "logical" (default) gives back what was encoded: one-element batches are scalars and sharded large
 fields are joined. mode "compat" keeps the wire's own view: every multi-byte number is an array of
@@ -23,8 +23,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions import scalars, varint
+from tagweave.functions import scalars, varint, vector
 from tagweave.functions.binding import bind
+from tagweave.functions.errors import CodecError
 from tagweave.functions.scalars import CODES, NAMES, NUMBERS
 
 #: Bytes and strings longer than this are cut to shards of this size.
@@ -35,13 +36,6 @@ DTYPES = {k: np.dtype(f"<{'u' if v.kind == 'u' else v.kind}{v.width}") for k, v
 _U64 = (1 << 64) - 1
 
 
-class CodecError(ValueError):
-    """An input that can't be encoded or decoded."""
-
-    def __init__(self, what: str):
-        super().__init__(f"Codec Error: {what}")
-
-
 # -- encoding --------------------------------------------------------------------------------------
 
 
@@ -340,24 +334,91 @@ def as_python(item: Item, kind: T.DataType) -> Any:
     return Decimal(item.value) if isinstance(kind, T.DecimalType) else item.value
 
 
+def read_flat(column: pa.Array, kind: T.StructType, arrow: pa.DataType) -> tuple[pa.Array, np.ndarray] | None:
+    """Rows of objects that hold just kind's scalar fields, in order, in logical mode, and which rows are so. None if kind isn't flat, or text isn't UTF-8."""
+    names = [None if isinstance(f.dataType, T.StructType | T.ArrayType | T.MapType | T.NullType) else wire_name(f.dataType) for f in kind.fields]
+    if not names or None in names:
+        return None
+    data, start, end, valid = vector.spans(column)
+    _, at, status = vector.varints(data, start, end)
+    ok = valid & (status == vector.READ) & (at < end)
+    at = np.where(ok, at, 0)
+    ok &= data[at] == CODES["object"]
+    size, at, status = vector.varints(data, at + 1, end)
+    stop = at + vector.sizes(size)
+    ok &= (status == vector.READ) & (stop <= end)
+    found = []
+    for i, (f, name) in enumerate(zip(kind.fields, names, strict=True)):
+        at, stop = np.where(ok, at, 0), np.where(ok, stop, 0)
+        tag, at, status = vector.varints(data, at, stop)
+        ok &= (status == vector.READ) & (tag == np.uint64(tag_of(f, i))) & (at < stop)
+        at = np.where(ok, at, 0)
+        code = data[at]
+        size, at, status = vector.varints(data, at + 1, stop)
+        size = vector.sizes(size)
+        ok &= (status == vector.READ) & (at + size <= stop)
+        null = (code == 0) & (size == 0)
+        right = code == CODES[name]
+        if name in DTYPES:
+            right &= size == DTYPES[name].itemsize
+        elif name == "bool":
+            right &= size == 1
+        else:  # eight bytes may be the header of a sharded field
+            eight = size == 8
+            head = vector.numbers(data, np.where(ok & eight, at, 0), np.dtype("<u8"))
+            right &= ~(eight & (head > LARGE))
+        ok &= null | right
+        found.append((name, at, size, null))
+        at = at + size
+    ok &= at == stop
+    columns = []
+    for field_type, (name, at, size, null) in zip(arrow, found, strict=True):
+        on = ok & ~null
+        at = np.where(on, at, 0)
+        if name in ("string", "bytes"):
+            values = vector.pieces(data, at, size, on)
+        elif name == "bool":
+            values = pa.array(data[at] != 0, mask=~on)
+        else:
+            values = pa.array(vector.numbers(data, at, DTYPES[name]), mask=~on)
+        try:
+            columns.append(values.cast(field_type.type))
+        except pa.ArrowInvalid:
+            return None
+    return pa.StructArray.from_arrays(columns, fields=list(arrow), mask=pa.array(~valid)), ok | ~valid
+
+
 def decode_value(data: Column, kind: T.DataType, mode: str = "logical", strict: bool = True, on_error: str = "fail") -> Column:
     """The first item of BINARY as a Spark type. on_error: "fail", or "null" for bytes that can't be read."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
 
+    def walked(rows: list[bytes | None]) -> pa.Array:
+        out = []
+        for raw in rows:
+            try:
+                out.append(None if raw is None else as_python(read_item(raw, mode, strict)[0], kind))
+            except CodecError:
+                if on_error == "fail":
+                    raise
+                out.append(None)
+        return pa.array(out, arrow)
+
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = []
-            for raw in batch.to_pylist():
-                try:
-                    rows.append(None if raw is None else as_python(read_item(raw, mode, strict)[0], kind))
-                except CodecError:
-                    if on_error == "fail":
-                        raise
-                    rows.append(None)
-            yield pa.array(rows, arrow)
+            read = read_flat(batch, kind, arrow) if mode == "logical" and isinstance(kind, T.StructType) else None
+            if read is None:
+                yield walked(batch.to_pylist())
+                continue
+            flat, done = read
+            rest = np.flatnonzero(~done)
+            if len(rest):
+                place = np.arange(len(batch))
+                place[rest] = len(batch) + np.arange(len(rest))
+                flat = pa.concat_arrays([flat, walked(batch.take(pa.array(rest)).to_pylist())]).take(pa.array(place))
+            yield flat
 
     return run(data)
 
@@ -403,8 +464,10 @@ def encode_block(tag: Column, flags: Column, value: Column) -> Column:
     return F.unhex(F.concat(head, varint.encode_hex(F.octet_length(value).cast("long")), F.hex(value)))
 
 
-def read_block(data: bytes, at: int = 0, depth: int = 0) -> tuple[dict, int]:
-    if len(data) < at + 3:
+def read_block(data: bytes, at: int = 0, depth: int = 0, end: int | None = None) -> tuple[dict, int]:
+    """The block at a place, and where it ends; it lies before end."""
+    end = len(data) if end is None else end
+    if end < at + 3:
         raise CodecError("Incomplete data for block")
     tag, flags = int.from_bytes(data[at : at + 2], "big"), data[at + 2]
     if flags & ~7:
@@ -412,12 +475,12 @@ def read_block(data: bytes, at: int = 0, depth: int = 0) -> tuple[dict, int]:
     if depth > MOST_NESTED:
         raise CodecError(f"Maximum nesting depth ({MOST_NESTED}) exceeded")
     length, start = read_varint(data, at + 3)
-    if start + length > len(data):
+    if start + length > end:
         raise CodecError("Incomplete data for Value")
     block = {"tag": tag, "flags": flags, "length": length, "value": data[start : start + length], "nested": []}
     inner = start
     while flags & NESTED and inner < start + length:
-        child, inner = read_block(data[: start + length], inner, depth + 1)
+        child, inner = read_block(data, inner, depth + 1, start + length)
         block["nested"].append(child)
     return block, start + length
 

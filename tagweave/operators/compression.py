@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,17 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagweave.functions.errors import CompressionError
+
 CODES = {"none": 0, "zstd": 1, "brotli": 3}
 NAMES = {v: k for k, v in CODES.items()}
 SHARD = 1 << 20
 DICTIONARY = 64 * 1024
 
 
-class CompressionError(ValueError):
-    def __init__(self, what: str):
-        super().__init__(f"Compression Error: {what}")
-
-
 class _Identity:
     @staticmethod
     def compress(data: bytes) -> bytes:
@@ -110,26 +108,31 @@ def decompress(data: Column, strategy: str = "zstd", on_error: str = "fail") ->
 # -- shards as rows --------------------------------------------------------------------------------
 
 
-def to_shards(df: DataFrame, data: str, size: int = SHARD, strategy: str = "zstd") -> DataFrame:
+def to_shards(df: DataFrame, data: str, size: int = SHARD, strategy: str = "zstd", keep_empty: bool = False) -> DataFrame:
     """A row for each shard of each value: the other columns, shard_index, strategy, original_size, compressed_size, shard.
 
     Shards are rows before they are compressed, so a large value is compressed by many tasks. Empty and
-    null values have none.
+    null values have none; with keep_empty they have a row without a shard, of original size 0 or null.
     """
     value = F.col(data)
     cut = F.transform(F.sequence(F.lit(1), F.octet_length(value), F.lit(size)), lambda i: F.substring(value, i, F.lit(size)))
     rest = [c for c in df.columns if c != data]
-    rows = df.where(F.octet_length(value) > 0).select(*rest, F.posexplode(cut).alias("shard_index", "_piece"))
-    packed = rows.withColumn("shard", compress(F.col("_piece"), strategy))
+    if keep_empty:
+        rows = df.select(*rest, F.posexplode_outer(F.when(F.octet_length(value) > 0, cut)).alias("shard_index", "_piece"), F.octet_length(value).alias("_whole"))
+        rows = rows.withColumn("_piece", F.when(F.col("_whole") > 0, F.col("_piece")).when(F.col("_whole") == 0, F.lit(b""))).drop("_whole")
+    else:
+        rows = df.where(F.octet_length(value) > 0).select(*rest, F.posexplode(cut).alias("shard_index", "_piece"))
+    packed = rows.withColumn("shard", compress(F.when(F.col("shard_index").isNotNull(), F.col("_piece")), strategy))
     return packed.select(*rest, "shard_index", F.lit(CODES[strategy]).cast("tinyint").alias("strategy"), F.octet_length("_piece").alias("original_size"), F.octet_length("shard").alias("compressed_size"), "shard")
 
 
 def from_shards(shards: DataFrame, keys: list[str], data: str = "data", strategy: str = "zstd") -> DataFrame:
     """The values, by key columns, from to_shards() rows. A shard of another size than it states raises "Decompressed size mismatch"."""
     whole = shards.withColumn("_piece", decompress(F.col("shard"), strategy))
-    sound = F.when(F.octet_length("_piece") == F.col("original_size"), F.hex("_piece")).otherwise(F.raise_error(F.lit("Compression Error: Decompressed size mismatch")))
+    sound = F.when(F.col("shard_index").isNull(), F.lit("")).when(F.octet_length("_piece") == F.col("original_size"), F.hex("_piece")).otherwise(F.raise_error(F.lit("Compression Error: Decompressed size mismatch")))
     parts = F.array_sort(F.collect_list(F.struct("shard_index", sound.alias("digits"))))
-    return whole.groupBy(*keys).agg(F.unhex(F.array_join(F.transform(parts, lambda p: p["digits"]), "")).alias(data))
+    value = F.unhex(F.array_join(F.transform(parts, lambda p: p["digits"]), ""))
+    return whole.groupBy(*keys).agg(F.when(F.count("original_size") > 0, value).alias(data))
 
 
 # -- the sharded wire form -------------------------------------------------------------------------
@@ -207,7 +210,7 @@ def shard_error(data: Column) -> Column:
 # -- contexts --------------------------------------------------------------------------------------
 
 
-def dictionary_length(size: Column, context: str, order: list[str], most: int = DICTIONARY) -> Column:
+def dictionary_length(size: Column, context: str | list[str], order: list[str], most: int = DICTIONARY) -> Column:
     """Bytes that a context's dictionary holds after each message: all so far, but the last `most` at most.
 
     A window by context; contexts are independent, and there is no cap on their number.
@@ -216,10 +219,22 @@ def dictionary_length(size: Column, context: str, order: list[str], most: int =
     return F.least(F.lit(most).cast("long"), F.sum(size.cast("long")).over(so_far))
 
 
-def compress_in_context(df: DataFrame, data: str, context: str, order: list[str], most: int = DICTIONARY, strategy: str = "zstd") -> DataFrame:
-    """df with compressed and dictionary_size. The dictionary does not reach the codec, so messages stand alone."""
-    size = dictionary_length(F.octet_length(data), context, order, most)
-    return df.withColumn("compressed", compress(F.col(data), strategy)).withColumn("dictionary_size", size)
+def compress_in_context(df: DataFrame, data: str, context: str, order: list[str], most: int = DICTIONARY, strategy: str = "zstd", clear: Column | None = None) -> DataFrame:
+    """df with compressed and dictionary_size. The dictionary does not reach the codec, so messages stand alone.
+
+    clear: whether a message's context is cleared before it; clear_all() tells it for all contexts at once.
+    """
+    if clear is not None:
+        cleared = F.sum(F.coalesce(clear, F.lit(False)).cast("int")).over(Window.partitionBy(context).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        df = df.withColumn("_cleared", cleared)
+    size = dictionary_length(F.octet_length(data), [context, "_cleared"] if clear is not None else context, order, most)
+    return df.withColumn("compressed", compress(F.col(data), strategy)).withColumn("dictionary_size", size).drop("_cleared")
+
+
+def clear_all(context: str, at: str, when: list) -> Column:
+    """For compress_in_context(): whether a message is the first of its context since one of the times `when`, of column at, at which all contexts are cleared."""
+    epoch = sum((F.col(at) >= F.lit(t)).cast("int") for t in when) if when else F.lit(0)
+    return epoch > F.coalesce(F.max(epoch).over(Window.partitionBy(context).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def updated_dictionary(held: bytes, message: bytes, most: int = DICTIONARY) -> bytes:
@@ -237,11 +252,12 @@ def dictionaries(df: DataFrame, data: str, context: str, order: list[str], most:
     return held.select(context, F.unhex(F.right(F.col("_all"), F.lit(2 * most))).alias("dictionary"))
 
 
-def contexts_in_stream(df: DataFrame, data: str, context: str, most: int = DICTIONARY, idle_ms: int | None = None) -> DataFrame:
+def contexts_in_stream(df: DataFrame, data: str, context: str, most: int = DICTIONARY, idle_ms: int | None = None, clear: str | None = None) -> DataFrame:
     """The streaming form of compress_in_context(): context, compressed and dictionary_size of each message.
 
     Each context's dictionary is state of its own. With idle_ms it is dropped after that long without
-    messages, for which the stream runs batches even when no data come.
+    messages, for which the stream runs batches even when no data come. clear: a boolean column; a message for which it
+    holds finds its context cleared.
     """
     kind = df.schema[context].dataType
     out = T.StructType([T.StructField(context, kind), T.StructField("compressed", T.BinaryType()), T.StructField("dictionary_size", T.LongType())])
@@ -255,7 +271,9 @@ def contexts_in_stream(df: DataFrame, data: str, context: str, most: int = DICTI
         seen = bytes(state.get[0]) if state.exists else b""
         for pdf in frames:
             packed, sizes = [], []
-            for message in pdf[data]:
+            for message, cleared in zip(pdf[data], pdf[clear] if clear else itertools.repeat(False)):
+                if cleared:
+                    seen = b""
                 seen = updated_dictionary(seen, bytes(message), most)
                 packed.append(act(bytes(message)))
                 sizes.append(len(seen))

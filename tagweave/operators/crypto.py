@@ -20,16 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagweave.functions.errors import EncryptionError
+
 #: Strategy codes. Fixed values.
 STRATEGIES = {"none": 0, "aes_gcm": 1, "chacha20_poly1305": 2, "ecc": 3, "kyber": 4, "aes_kyber": 5, "chacha20_kyber": 6, "custom": 7}
 _P25519 = 2**255 - 19
 
 
-class EncryptionError(ValueError):
-    def __init__(self, what: str):
-        super().__init__(f"Encryption Error: {what}")
-
-
 # -- ChaCha20-Poly1305 (RFC 8439) --------------------------------------------------------------------
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tagweave.functions import scalars, varint
-from tagweave.functions.binding import bind
+from tagweave.functions import scalars, varint, vector
 from tagweave.functions.blake3 import blake3, digests
 from tagweave.operators import codec
 
@@ -26,27 +26,52 @@ def encode_header(schema_id: Column, timestamp: Column, shard_id: Column, flow_f
     return F.unhex(F.concat(*numbers, scalars.encode_hex(flow_flags.cast("long"), "u32"), varint.byte_hex(body_type.cast("long"))))
 
 
-def decode_header(data: Column) -> Column:
-    """struct<schema_id, timestamp, shard_id, flow_flags, body_type, read, error> of the header that BINARY begins with."""
+_HEADER = T.StructType(
+    [*(T.StructField(n, T.LongType()) for n in ("schema_id", "timestamp", "shard_id", "flow_flags")), T.StructField("body_type", T.IntegerType()), T.StructField("read", T.IntegerType()), T.StructField("error", T.StringType())]
+)
+_NUMBERS = ("schema_id", "timestamp", "shard_id")
+
+
+def read_headers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's header: fields by name, with whether they could be read, where it ends, what is wrong, and whether its varints are as short as can be."""
+    n = len(start)
+    fields, at, error, shortest = {}, start, np.full(n, None, object), np.ones(n, bool)
+    for name in _NUMBERS:
+        good = error == None  # noqa: E711
+        before = np.where(good, at, end)
+        value, at, status = vector.varints(data, before, end)
+        error[good & (status == vector.INCOMPLETE)] = "Incomplete varint data"
+        error[good & (status == vector.TOO_LARGE)] = "Varint value too large"
+        size = at - before
+        low = np.where(size > 1, np.uint64(1) << np.minimum(7 * (size - 1), 63).astype(np.uint64), np.uint64(0))
+        shortest &= (value >= low) & (size < 10)
+        fields[name] = value.view(np.int64), good & (status == vector.READ)
+    for name, kind in (("flow_flags", np.dtype("<u4")), ("body_type", np.dtype("u1"))):
+        good = error == None  # noqa: E711
+        has = good & (at + kind.itemsize <= end)
+        error[good & ~has] = f"Incomplete data for {name}"
+        fields[name] = vector.numbers(data, np.where(has, at, 0), kind).astype(np.int64), has
+        at = np.where(has, at + kind.itemsize, at)
+    kind, has = fields["body_type"]
+    for i in np.flatnonzero(has & (kind > ENCRYPTED)):
+        error[i] = f"Unknown DataBodyType value: {kind[i]}"
+    return fields, at, error, shortest
 
-    def then(names: list[str]):
-        """The struct so far and the varint after it."""
-        return lambda x: F.struct(*(x[n].alias(n) for n in names), varint.decode(data, F.coalesce(sum_of(x, names), F.lit(0)) + 1).alias("abc"[len(names)]))
 
-    def sum_of(x: Column, names: list[str]) -> Column:
-        return sum((x[n]["read"] for n in names[1:]), x[names[0]]["read"])
+def decode_header(data: Column) -> Column:
+    """struct<schema_id, timestamp, shard_id, flow_flags, body_type, read, error> of the header that BINARY begins with."""
 
-    def finished(x: Column) -> Column:
-        at, size = sum_of(x, ["a", "b", "c"]), F.octet_length(data)
-        flags = scalars.decode(F.substring(data, at + 1, F.lit(4)), "u32")
-        kind = varint.byte_at(data, at + 5)
-        unknown = F.when(kind > 2, F.concat(F.lit("Unknown DataBodyType value: "), kind.cast("string")))
-        error = F.coalesce(x["a"]["error"], x["b"]["error"], x["c"]["error"], F.when(size < at + 4, F.lit("Incomplete data for flow_flags")), F.when(size < at + 5, F.lit("Incomplete data for body_type")), unknown)
-        numbers = [x[n]["bits"].alias(name) for n, name in zip("abc", ("schema_id", "timestamp", "shard_id"), strict=True)]
-        return F.struct(*numbers, flags.alias("flow_flags"), kind.cast("int").alias("body_type"), (at + 5).alias("read"), error.alias("error"))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = to_arrow_type(_HEADER)
+        for batch in batches:
+            raw, start, end, valid = vector.spans(batch)
+            fields, at, error, _ = read_headers(raw, start, end)
+            columns = [pa.array(value, mask=~(has & valid)).cast(kind.field(name).type) for name, (value, has) in fields.items()]
+            columns.append(pa.array((at - start).astype(np.int32), mask=~fields["body_type"][1]))
+            columns.append(pa.array(error, pa.string()))
+            yield pa.StructArray.from_arrays(columns, fields=list(kind), mask=pa.array(~valid))
 
-    first = F.struct(varint.decode(data).alias("a"))
-    return bind(bind(bind(first, then(["a"])), then(["a", "b"])), finished)
+    return F.arrow_udf(run, _HEADER)(data)
 
 
 def strategy_of(flow_flags: Column) -> Column:
@@ -55,6 +80,18 @@ def strategy_of(flow_flags: Column) -> Column:
     return F.when(low == 0, "none").when(low == 1, "zstd").when(low == 3, "brotli")
 
 
+def strategy_error(flow_flags: Column) -> Column:
+    """What is wrong with the low two bits; null if they name a strategy."""
+    low = flow_flags.bitwiseAND(F.lit(3))
+    return F.when(low == 2, F.concat(F.lit("Codec Error: Unknown compression strategy bits in flow_flags: "), low.cast("string")))
+
+
+def known_strategy_of(flow_flags: Column) -> Column:
+    """strategy_of(), which raises strategy_error() where there is one."""
+    error = strategy_error(flow_flags)
+    return F.when(error.isNotNull(), F.raise_error(error).cast("string")).otherwise(strategy_of(flow_flags))
+
+
 def with_strategy(flow_flags: Column, strategy: str) -> Column:
     return flow_flags.bitwiseAND(F.lit(0xFFFFFFFC)).bitwiseOR(F.lit(STRATEGIES[strategy]))
 
@@ -65,6 +102,16 @@ def build(schema_id: Column, timestamp: Column, shard_id: Column, flow_flags: Co
     return F.concat(signed, blake3(signed))
 
 
+VARIANTS = {"raw": RAW, "compressed": COMPRESSED, "encrypted": ENCRYPTED}
+
+
+def build_variant(schema_id: Column, timestamp: Column, shard_id: Column, flow_flags: Column, variant: Column, body: Column) -> Column:
+    """BINARY packet of a body that is raw, compressed or encrypted, as variant says; the header's body type follows from it."""
+    known = F.when(variant == "raw", RAW).when(variant == "compressed", COMPRESSED).when(variant == "encrypted", ENCRYPTED)
+    kind = F.coalesce(known, F.raise_error(F.concat(F.lit("Codec Error: Unknown body variant: "), F.coalesce(variant, F.lit("null")))).cast("int"))
+    return build(schema_id, timestamp, shard_id, flow_flags, kind, body)
+
+
 _CHECKED = T.StructType(
     [
         *(T.StructField(n, T.LongType()) for n in ("schema_id", "timestamp", "shard_id", "flow_flags")),
@@ -95,24 +142,23 @@ def read_packet(data: bytes) -> tuple[tuple[int, int, int, int, int], bytes, byt
 
 
 def _verify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    kind = to_arrow_type(_CHECKED)
     for batch in batches:
-        rows: list[dict | None] = []
-        open_: list[tuple[int, bytes, bytes]] = []
-        for raw in batch.to_pylist():
-            row = None if raw is None else dict.fromkeys(_CHECKED.names)
-            if raw is not None:
-                try:
-                    fields, head, body, checksum = read_packet(raw)
-                    row |= dict(zip(_CHECKED.names, [*map(signed, fields[:3]), *fields[3:], body], strict=False))
-                    open_.append((len(rows), head + body, checksum))
-                except codec.CodecError as e:
-                    row["error"] = str(e).removeprefix("Codec Error: ")
-            rows.append(row)
-        for (i, _, checksum), digest in zip(open_, digests([x for _, x, _ in open_]), strict=True):
-            if digest != checksum:
-                rows[i] |= {"error": "Checksum verification failed", "body": None}
-        yield pa.array(rows, to_arrow_type(_CHECKED))
+        raw, start, end, valid = vector.spans(batch)
+        fields, at, error, shortest = read_headers(raw, start, end)
+        short = (error == None) & (end - at < CHECKSUM)  # noqa: E711
+        error[short] = "Incomplete data for Checksum"
+        known = {name: has & (error == None) for name, (_, has) in fields.items()}  # noqa: E711
+        good = np.flatnonzero(valid & (error == None))  # noqa: E711
+        # a header of overlong varints is checked as it would be encoded anew
+        signed = [raw[start[i] : end[i] - CHECKSUM].tobytes() if shortest[i] else b"".join(read_packet(raw[start[i] : end[i]].tobytes())[1:3]) for i in good]
+        sums = np.frombuffer(b"".join(digests(signed)), np.uint8).reshape(-1, CHECKSUM)
+        wrong = good[(sums != raw[(end[good] - CHECKSUM)[:, None] + np.arange(CHECKSUM)]).any(1)]
+        error[wrong] = "Checksum verification failed"
+        open_ = valid & (error == None)  # noqa: E711
+        columns = [pa.array(value, mask=~(known[name] & valid)).cast(kind.field(name).type) for name, (value, _) in fields.items()]
+        columns += [vector.pieces(raw, np.where(open_, at, 0), end - CHECKSUM - at, open_), pa.array(error, pa.string())]
+        yield pa.StructArray.from_arrays(columns, fields=list(kind), mask=pa.array(~valid))
 
 
 def check(data: Column) -> Column:

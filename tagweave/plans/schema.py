@@ -20,6 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagweave.functions.errors import SchemaError
 from tagweave.operators.codec import Item, write_item
 
 #: Bounds of the integer types.
@@ -29,11 +30,6 @@ _WIRE = {"null": "null", "boolean": "bool", "uint8": "u8", "uint16": "u16", "uin
 _SPARK = {"null": T.NullType(), "boolean": T.BooleanType(), "uint8": T.ShortType(), "uint16": T.IntegerType(), "uint32": T.LongType(), "uint64": T.DecimalType(20, 0), "int8": T.ByteType(), "int16": T.ShortType(), "int32": T.IntegerType(), "int64": T.LongType(), "float32": T.FloatType(), "float64": T.DoubleType(), "binary": T.BinaryType(), "string": T.StringType()}
 
 
-class SchemaError(ValueError):
-    def __init__(self, what: str):
-        super().__init__(f"Schema Error: {what}")
-
-
 @dataclass(frozen=True)
 class SchemaType:
     """name: one of _WIRE's; items: of an array; key and value: of a map; members: of a union; fields: of an object."""
@@ -301,7 +297,7 @@ def with_defaults(columns: dict[str, Column], kind: SchemaType, strategy: str, c
             return inner if f.required or f.default is not None else F.when(value.isNotNull(), inner)
         if strategy == "recursive" and f.type.name == "array" and f.type.items.name == "object":
             fields = f.type.items.fields
-            value = F.transform(value, lambda x: F.struct(*with_defaults({g.name: x[g.name] for g in fields}, f.type.items, strategy)))
+            value = F.transform(value, lambda x: F.when(x.isNotNull(), F.struct(*with_defaults({g.name: x[g.name] for g in fields}, f.type.items, strategy))))
         default = default_of(f, strategy, custom)
         if default is None or default == {}:
             return value
@@ -315,39 +311,109 @@ def with_defaults(columns: dict[str, Column], kind: SchemaType, strategy: str, c
 # -- validation ------------------------------------------------------------------------------------
 
 
-def violations(columns: dict[str, Column], kind: SchemaType, path: str = "", depth: int = 0) -> Column:
-    """array<string>: what is wrong with an object's columns; empty if nothing. Lengths of strings are bytes."""
+_NOTHING = "array<string>"
+
+
+def _say(bad: Column, what: Column | str) -> Column:
+    return F.when(bad, F.array(F.lit(what) if isinstance(what, str) else what)).otherwise(F.array().cast(_NOTHING))
+
+
+def _shape(value: Column) -> Column:
+    """A variant's own type: VOID, BOOLEAN, BIGINT, DOUBLE or DECIMAL(...), STRING, ARRAY<...>, OBJECT<...>."""
+    return F.schema_of_variant(value)
+
+
+def fits(value: Column, kind: SchemaType, depth: int = 0) -> Column:
+    """Whether a VARIANT value is of a type: numbers by their range, what nests by all that it holds, a union by any of its members."""
     if depth > 32:
         raise SchemaError("Maximum validation depth (32) exceeded")
+    shape, name = _shape(value), kind.name
+    if name == "union":
+        out = F.lit(False)
+        for member in kind.members:
+            out = out | fits(value, member, depth)
+        return F.coalesce(out, F.lit(False))
+    if name == "null":
+        return F.coalesce(shape == "VOID", F.lit(False))
+    if name == "boolean":
+        return F.coalesce(shape == "BOOLEAN", F.lit(False))
+    if kind.is_integer:
+        return F.coalesce((shape == "BIGINT") & in_range(F.try_variant_get(value, "$", "decimal(38,0)"), name), F.lit(False))
+    if kind.is_float:
+        return F.coalesce(shape.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & in_range(F.try_variant_get(value, "$", "double"), name), F.lit(False))
+    if name in ("string", "binary"):
+        right = shape == "STRING"
+        return F.coalesce(right & F.try_to_binary(F.try_variant_get(value, "$", "string"), F.lit("base64")).isNotNull() if name == "binary" else right, F.lit(False))
+    if name == "array":
+        items = F.try_variant_get(value, "$", "array<variant>")
+        return F.coalesce(shape.startswith("ARRAY") & F.forall(items, lambda x: fits(x, kind.items, depth + 1)), F.lit(False))
+    inside = F.try_variant_get(value, "$", "map<string,variant>")
+    if name == "map":
+        return F.coalesce(shape.startswith("OBJECT") & F.forall(F.map_values(inside), lambda x: fits(x, kind.value, depth + 1)), F.lit(False))
+    out = shape.startswith("OBJECT")
+    for f in kind.fields:
+        own = F.try_variant_get(value, f"$.{f.name}", "variant")
+        out = out & (own.isNotNull() & fits(own, f.type, depth + 1) if f.required else own.isNull() | fits(own, f.type, depth + 1))
+    return F.coalesce(out, F.lit(False))
+
+
+def value_violations(value: Column, kind: SchemaType, at: Column | str, depth: int = 0) -> Column:
+    """array<string>: what is wrong with one value, null for none: numbers out of range, elements of arrays, keys and values of maps, fields of objects, and unions (VARIANT) of no member's type."""
+    if depth > 32:
+        raise SchemaError("Maximum validation depth (32) exceeded")
+    path = F.lit(at) if isinstance(at, str) else at
+    none, name = F.array().cast(_NOTHING), kind.name
+    said = lambda what: F.concat(path, F.lit(f": {what}"))
+    if kind.is_numeric:
+        return _say(~in_range(value, name), said(f"out of range for {name}"))
+    if name == "array":
+        if not (kind.items.is_numeric or kind.items.is_complex):
+            return none
+        each = lambda x, i: value_violations(x, kind.items, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), depth + 1)
+        return F.coalesce(F.flatten(F.transform(value, each)), none)
+    if name == "map":
+        entry = lambda e: F.concat(value_violations(e["key"], kind.key, F.concat(path, F.lit(" key")), depth + 1), value_violations(e["value"], kind.value, F.concat(path, F.lit("["), e["key"].cast("string"), F.lit("]")), depth + 1))
+        return F.coalesce(F.flatten(F.transform(F.map_entries(value), entry)), none)
+    if name == "union":
+        return _say(value.isNotNull() & ~fits(value, kind, depth), said("does not match any type in union"))
+    if name == "object":
+        inner = _fields({g.name: value[g.name] for g in kind.fields}, kind, F.concat(path, F.lit(".")), depth + 1)
+        return F.when(value.isNotNull(), inner).otherwise(none)
+    return none
+
+
+def _fields(columns: dict[str, Column], kind: SchemaType, path: Column, depth: int) -> Column:
     found: list[Column] = []
-    say = lambda bad, what: F.when(bad, F.array(F.lit(what))).otherwise(F.array().cast("array<string>"))
     for f in kind.fields:
-        at = f"{path}{f.name}"
+        at = F.concat(path, F.lit(f.name))
+        said = lambda what, at=at: F.concat(at, F.lit(f": {what}"))
         if f.name not in columns:
             if f.required:
-                found.append(F.array(F.lit(f"{at}: required field is missing")))
+                found.append(F.array(said("required field is missing")))
             continue
         value, c = columns[f.name], f.constraints
         if f.required:
-            found.append(say(value.isNull(), f"{at}: required field is missing"))
+            found.append(_say(value.isNull(), said("required field is missing")))
+        found.append(value_violations(value, f.type, at, depth))
         if f.type.is_numeric:
-            found.append(say(~in_range(value, f.type.name), f"{at}: out of range for {f.type.name}"))
             if c.minimum is not None:
-                found.append(say(value < F.lit(c.minimum), f"{at}: less than minimum {c.minimum}"))
+                found.append(_say(value < F.lit(c.minimum), said(f"less than minimum {c.minimum}")))
             if c.maximum is not None:
-                found.append(say(value > F.lit(c.maximum), f"{at}: greater than maximum {c.maximum}"))
+                found.append(_say(value > F.lit(c.maximum), said(f"greater than maximum {c.maximum}")))
         if f.type.name in ("string", "binary", "array"):
             size = F.size(value) if f.type.name == "array" else F.octet_length(value)
             if c.min_length is not None:
-                found.append(say(value.isNotNull() & (size < c.min_length), f"{at}: shorter than {c.min_length}"))
+                found.append(_say(value.isNotNull() & (size < c.min_length), said(f"shorter than {c.min_length}")))
             if c.max_length is not None:
-                found.append(say(value.isNotNull() & (size > c.max_length), f"{at}: longer than {c.max_length}"))
+                found.append(_say(value.isNotNull() & (size > c.max_length), said(f"longer than {c.max_length}")))
         if f.type.name == "string" and c.pattern is not None:
-            found.append(say(~value.rlike(c.pattern), f"{at}: does not match {c.pattern}"))
-        if f.type.name == "object":
-            inner = violations({g.name: value[g.name] for g in f.type.fields}, f.type, f"{at}.", depth + 1)
-            found.append(F.when(value.isNotNull(), inner).otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.array(*found)) if found else F.array().cast("array<string>")
+            found.append(_say(~value.rlike(c.pattern), said(f"does not match {c.pattern}")))
+    return F.flatten(F.array(*found)) if found else F.array().cast(_NOTHING)
+
+
+def violations(columns: dict[str, Column], kind: SchemaType, path: str = "", depth: int = 0) -> Column:
+    """array<string>: what is wrong with an object's columns, at any depth; empty if nothing. Lengths of strings are bytes, and of arrays items."""
+    return _fields(columns, kind, F.lit(path), depth)
 
 
 def unknown_names(names: Column, kind: SchemaType) -> Column:

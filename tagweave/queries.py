@@ -6,6 +6,7 @@ Binary results are compared as hexadecimal digits.
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions import scalars, text, varint
+from tagweave.functions import errors, scalars, text, varint
 from tagweave.functions.blake3 import blake3
 from tagweave.operators import codec, compression, crypto, packets
 from tagweave.plans import inference, schema
@@ -112,13 +113,17 @@ def item_encode_flat(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.hex(codec.encode_item(tag, "string", F.col("c_name"))).alias("item"), F.hex(codec.encode_typeless(tag, F.col("c_name").cast("binary"))).alias("typeless"))
 
 
-_NATION = " || ".join([sql_item("1", 8, sql_le("n_nationkey", 4)), sql_item("2", 13, "hex(n_name)"), sql_item("3", 8, sql_le("n_regionkey", 4))])
+_OWNER = " || ".join([sql_item("1", 9, sql_le("c_custkey", 8)), sql_item("2", 13, "hex(c_name)"), sql_item("3", 8, sql_le("c_nationkey", 4))])
 
 
-@query(f"SELECT n_nationkey, {sql_item('5', 15, f'({_NATION})')} AS item FROM nation")
+def _owners(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+
+
+@query(f"SELECT c_custkey, {sql_item('5', 15, 'fields')} AS item FROM (SELECT c_custkey, {_OWNER} AS fields FROM customer)")
 def object_encode(spark, sf_dir):
-    df = table(spark, sf_dir, "nation")
-    return df.select("n_nationkey", F.hex(codec.encode_rows(df.schema, 5)).alias("item"))
+    df = _owners(spark, sf_dir)
+    return df.select("c_custkey", F.hex(codec.encode_rows(df.schema, 5)).alias("item"))
 
 
 _ARRAY = " || ".join(sql_item(str(i), 9, sql_le(f"o_orderkey * {i + 1}", 8)) for i in range(3))
@@ -137,13 +142,13 @@ def object_decode(spark, sf_dir):
 
 
 @query(
-    f"SELECT n_nationkey, 0 AS node_id, NULL::INT AS parent_id, 0 AS depth, 5::VARCHAR AS tag, 15 AS type, NULL AS value FROM nation UNION ALL "
-    f"SELECT n_nationkey, 1, 0, 1, '1', 8, {sql_le('n_nationkey', 4)} FROM nation UNION ALL SELECT n_nationkey, 2, 0, 1, '2', 13, hex(n_name) FROM nation UNION ALL SELECT n_nationkey, 3, 0, 1, '3', 8, {sql_le('n_regionkey', 4)} FROM nation"
+    f"SELECT c_custkey, 0 AS node_id, NULL::INT AS parent_id, 0 AS depth, 5::VARCHAR AS tag, 15 AS type, NULL AS value FROM customer UNION ALL "
+    f"SELECT c_custkey, 1, 0, 1, '1', 9, {sql_le('c_custkey', 8)} FROM customer UNION ALL SELECT c_custkey, 2, 0, 1, '2', 13, hex(c_name) FROM customer UNION ALL SELECT c_custkey, 3, 0, 1, '3', 8, {sql_le('c_nationkey', 4)} FROM customer"
 )
 def decode_node_table(spark, sf_dir):
-    df = table(spark, sf_dir, "nation")
-    nodes = df.select("n_nationkey", codec.decode_nodes(codec.encode_rows(df.schema, 5)).alias("d")).select("n_nationkey", F.inline("d.nodes"))
-    return nodes.select("n_nationkey", "node_id", "parent_id", "depth", F.col("tag").cast("string").alias("tag"), F.col("type").cast("int").alias("type"), F.hex("value").alias("value"))
+    df = _owners(spark, sf_dir)
+    nodes = df.select("c_custkey", codec.decode_nodes(codec.encode_rows(df.schema, 5)).alias("d")).select("c_custkey", F.inline("d.nodes"))
+    return nodes.select("c_custkey", "node_id", "parent_id", "depth", F.col("tag").cast("string").alias("tag"), F.col("type").cast("int").alias("type"), F.hex("value").alias("value"))
 
 
 @query(f"SELECT p_partkey, 14 AS type, 1 AS elements, '0' AS tag, {sql_le('p_size', 4)} AS value FROM part")
@@ -176,6 +181,22 @@ def batch_decode_integers(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", "l_shipdate", F.explode(back).alias("value"))
 
 
+#: Two values of each type of packed number, from columns of orders.
+_PACKED = {
+    "u8": ("o_orderkey % 256", "255"), "u16": ("o_custkey % 65536", "65535"), "u32": ("o_orderkey * 100003", "4294967295"), "u64": ("o_orderkey * 100000000003", "9223372036854775807"),
+    "i8": ("o_orderkey % 256 - 128", "-1"), "i16": ("o_custkey % 65536 - 32768", "-1"), "i32": ("o_custkey * -100003", "2147483647"), "i64": ("o_orderkey * -100000000003", "-1"),
+}
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"({x})::BIGINT AS {n}_first, {y}::BIGINT AS {n}_second" for n, (x, y) in _PACKED.items()) + ", o_totalprice::FLOAT::DOUBLE AS f32_first, -0.5::DOUBLE AS f32_second, o_totalprice AS f64_first, -o_totalprice AS f64_second FROM orders")
+def batch_decode_all(spark, sf_dir):
+    """Packed batches of every type of number, encoded and read back."""
+    pairs = {n: F.array(*(F.expr(f"cast({x} as {scalars.NUMBERS[n].spark})") for x in of)) for n, of in _PACKED.items()}
+    pairs |= {"f32": F.array(F.col("o_totalprice").cast("float"), F.lit(-0.5).cast("float")), "f64": F.array(F.col("o_totalprice"), -F.col("o_totalprice"))}
+    read = table(spark, sf_dir, "orders").select("o_orderkey", *(codec.decode_batch(codec.encode_batch(v, n), n).alias(n) for n, v in pairs.items()))
+    return read.select("o_orderkey", *(F.col(n)[i].cast("double" if n[0] == "f" else "long").alias(f"{n}_{('first', 'second')[i]}") for n in pairs for i in (0, 1)))
+
+
 @query("SELECT * FROM (VALUES (1, NULL), (32, NULL), (33, 'Codec Error: Maximum nesting depth (32) exceeded')) t(depth, error)")
 def nested_depth_guard(spark, sf_dir):
     def nested(n: int) -> bytes:
@@ -204,21 +225,21 @@ def large_field_reassemble(spark, sf_dir):
     return df.select("doc_id", F.sha2(codec.decode_value(codec.encode_item(1, "string", F.col("text")), T.StringType()).cast("binary"), 256).alias("digest"))
 
 
-_BLOCK = f"('00' || '07' || '00' || {sql_varint('strlen(r_name)')} || hex(r_name))"
+_BLOCK = f"('00' || '07' || '00' || {sql_varint('strlen(c_name)')} || hex(c_name))"
 
 
-@query(f"SELECT r_regionkey, {_BLOCK} AS flat, '0102' || '01' || {sql_varint(f'length({_BLOCK})')} || {_BLOCK} || {_BLOCK} AS nested FROM region")
+@query(f"SELECT c_custkey, {_BLOCK} AS flat, '0102' || '01' || {sql_varint(f'length({_BLOCK})')} || {_BLOCK} || {_BLOCK} AS nested FROM customer")
 def block_encode(spark, sf_dir):
-    flat = codec.encode_block(F.lit(7), F.lit(0), F.col("r_name").cast("binary"))
-    return table(spark, sf_dir, "region").select("r_regionkey", F.hex(flat).alias("flat"), F.hex(codec.encode_block(F.lit(258), F.lit(codec.NESTED), F.concat(flat, flat))).alias("nested"))
+    flat = codec.encode_block(F.lit(7), F.lit(0), F.col("c_name").cast("binary"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.hex(flat).alias("flat"), F.hex(codec.encode_block(F.lit(258), F.lit(codec.NESTED), F.concat(flat, flat))).alias("nested"))
 
 
-@query("SELECT r_regionkey, depth, tag, flags, CASE WHEN depth = 1 THEN r_name END AS value FROM region, (VALUES (0, 258, 1), (1, 7, 0), (1, 7, 0)) t(depth, tag, flags)")
+@query("SELECT c_custkey, depth, tag, flags, CASE WHEN depth = 1 THEN c_name END AS value FROM customer, (VALUES (0, 258, 1), (1, 7, 0), (1, 7, 0)) t(depth, tag, flags)")
 def block_decode(spark, sf_dir):
-    flat = codec.encode_block(F.lit(7), F.lit(0), F.col("r_name").cast("binary"))
+    flat = codec.encode_block(F.lit(7), F.lit(0), F.col("c_name").cast("binary"))
     blocks = codec.decode_blocks(codec.encode_block(F.lit(258), F.lit(codec.NESTED), F.concat(flat, flat)))
-    df = table(spark, sf_dir, "region").select("r_regionkey", "r_name", F.inline(blocks))
-    return df.select("r_regionkey", "depth", "tag", F.col("flags").cast("int").alias("flags"), F.when(F.col("depth") == 1, F.col("value").cast("string")).alias("value"))
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.inline(blocks))
+    return df.select("c_custkey", "depth", "tag", F.col("flags").cast("int").alias("flags"), F.when(F.col("depth") == 1, F.col("value").cast("string")).alias("value"))
 
 
 # -- functions on bytes ------------------------------------------------------------------------------
@@ -288,16 +309,52 @@ def packet_parse_status(spark, sf_dir):
     return packets.verified(df.select("event_id", packet.alias("packet")), "packet").select("event_id", "error", F.col("body").cast("string").alias("body"))
 
 
+@query(
+    "SELECT event_id, event_id % 4 AS low, CASE event_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'zstd' WHEN 3 THEN 'brotli' END AS strategy, CASE WHEN event_id % 4 = 2 THEN 'Codec Error: Unknown compression strategy bits in flow_flags: 2' END AS error,"
+    " event_id // 4 * 4 AS as_none, event_id // 4 * 4 + 1 AS as_zstd, event_id // 4 * 4 + 3 AS as_brotli FROM events"
+)
+def packet_strategy(spark, sf_dir):
+    """The strategy in all values of the flags' low bits, and the flags with each strategy put in."""
+    flags = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", (flags % 4).alias("low"), packets.strategy_of(flags).alias("strategy"), packets.strategy_error(flags).alias("error"), *(packets.with_strategy(flags, n).alias(f"as_{n}") for n in packets.STRATEGIES))
+
+
+@query("SELECT event_id, event_id % 3 AS body_type, props AS body, event_id * 4 AS flow_flags, NULL AS error FROM events")
+def packet_variants(spark, sf_dir):
+    """Packets whose body type follows from the body's variant, parsed again."""
+    df = table(spark, sf_dir, "events")
+    variant = F.element_at(F.array(*map(F.lit, packets.VARIANTS)), (F.col("event_id") % 3 + 1).cast("int"))
+    packet = packets.build_variant(F.lit(1).cast("long"), F.col("event_id"), F.lit(0).cast("long"), F.col("event_id") * 4, variant, F.col("props").cast("binary"))
+    return packets.verified(df.select("event_id", packet.alias("packet")), "packet").select("event_id", F.col("body_type").cast("long").alias("body_type"), F.col("body").cast("string").alias("body"), "flow_flags", "error")
+
+
+#: The first half of published digests of the bytes 0, 1, ..., 250, 0, ..., by how many. Fixed values.
+_BLAKE3 = {0: "af1349b9f5f9a1a6", 1: "2d3adedff11b61f1", 1024: "42214739f095a406", 1025: "d00278ae47eb27b3", 31744: "62b6960e1a44bcc1"}
+
+
+@query("SELECT n_nationkey, size, digest FROM nation, (VALUES " + ", ".join(f"({n}, '{d}')" for n, d in _BLAKE3.items()) + ") t(size, digest)")
+def blake3_vectors(spark, sf_dir):
+    """Published digests, of inputs of up to 31 chunks among each other."""
+    sizes = F.explode(F.array(*map(F.lit, _BLAKE3)))
+    digits = F.array_join(F.transform(F.when(F.col("size") > 0, F.sequence(F.lit(0), F.col("size") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.lpad(F.hex(i % 251), 2, "0")), "")
+    df = table(spark, sf_dir, "nation").select("n_nationkey", sizes.alias("size"))
+    return df.select("n_nationkey", "size", F.lower(F.substring(F.hex(blake3(F.unhex(digits))), 1, 16)).alias("digest"))
+
+
 @query()
 def blake3_digest(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.hex(blake3(F.col("n_name").cast("binary")))).alias("digest"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.lower(F.hex(blake3(F.col("c_name").cast("binary")))).alias("digest"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey % 8 = 3")
 def packet_store(spark, sf_dir):
     """Writes packets as a table, reads them back with a filter on a header field, and decodes."""
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 8).alias("part"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tagweave-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tagweave-")
     path = f"{folder.rstrip('/')}/tagweave-packets-{uuid.uuid4().hex}"
     store.write(store.frame(df, 1, F.lit(0), F.col("part")), path)
     return store.unframe(store.read(spark, path).where("shard_id = 3"), df.schema).select("o_orderkey", "o_totalprice")
@@ -327,10 +384,19 @@ def shard_metadata(spark, sf_dir):
     return compression.to_shards(df, "data", 1000).select("doc_id", "shard_index", "original_size", F.col("strategy").cast("int").alias("strategy"))
 
 
-@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE strlen(text) > 0")
+@query("SELECT doc_id, strlen(text)::BIGINT AS bytes, text AS copy FROM documents")
+def no_compression(spark, sf_dir):
+    packed = compression.compress(F.col("text").cast("binary"), "none")
+    df = table(spark, sf_dir, "documents").select("doc_id", packed.alias("packed"))
+    return df.select("doc_id", F.octet_length("packed").cast("long").alias("bytes"), compression.decompress(F.col("packed"), "none").cast("string").alias("copy"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 11 <> 1 THEN sha256(CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END) END AS digest FROM documents")
 def sharded_rows_roundtrip(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
-    return compression.from_shards(compression.to_shards(df, "data", 1000), ["doc_id"]).select("doc_id", F.sha2("data", 256).alias("digest"))
+    """Values through rows of shards, some of them made empty and some null."""
+    text = F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 11 != 1, F.col("text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", text.cast("binary").alias("data"))
+    return compression.from_shards(compression.to_shards(df, "data", 1000, keep_empty=True), ["doc_id"]).select("doc_id", F.sha2("data", 256).alias("digest"))
 
 
 @query("SELECT page_id, sha256(html) AS digest, (strlen(html) + 999) // 1000 AS shards FROM pages")
@@ -354,6 +420,20 @@ def incremental_dictionary_size(spark, sf_dir):
     return compression.compress_in_context(df, "data", "conv_id", ["turn"], 1000).select("conv_id", "turn", "dictionary_size")
 
 
+@query("SELECT conv_id, turn, least(1000, sum(strlen(text)) OVER (PARTITION BY conv_id, turn // 3 ORDER BY turn))::BIGINT AS dictionary_size FROM conversations")
+def incremental_clear(spark, sf_dir):
+    """Dictionaries of contexts that are cleared before every third turn."""
+    df = table(spark, sf_dir, "conversations").withColumn("data", F.col("text").cast("binary"))
+    return compression.compress_in_context(df, "data", "conv_id", ["turn"], 1000, clear=F.col("turn") % 3 == 0).select("conv_id", "turn", "dictionary_size")
+
+
+@query("SELECT conv_id, turn, least(1000, sum(strlen(text)) OVER (PARTITION BY conv_id, turn >= 2, turn >= 5 ORDER BY turn))::BIGINT AS dictionary_size FROM conversations")
+def incremental_clear_all(spark, sf_dir):
+    """All contexts are cleared at turns 2 and 5."""
+    df = table(spark, sf_dir, "conversations").withColumn("data", F.col("text").cast("binary"))
+    return compression.compress_in_context(df, "data", "conv_id", ["turn"], 1000, clear=compression.clear_all("conv_id", "turn", [2, 5])).select("conv_id", "turn", "dictionary_size")
+
+
 @query("SELECT conv_id, right(string_agg(hex(text), '' ORDER BY turn), 2000) AS dictionary FROM conversations GROUP BY conv_id")
 def incremental_dictionary(spark, sf_dir):
     df = table(spark, sf_dir, "conversations").withColumn("data", F.col("text").cast("binary"))
@@ -452,6 +532,62 @@ def _defaults(strategy: str, sql: str):
 for _strategy, _of in {"none": ("NULL", "NULL", "NULL"), "required": ("''", "NULL", "'GENERAL'"), "all": ("''", "0.0", "'GENERAL'"), "recursive": ("''", "0.0", "'GENERAL'"), "custom": ("'nobody'", "NULL", "NULL")}.items():
     _defaults(_strategy, _defaults_sql(*_of))
 
+_PART = schema.SchemaType("object", fields=(schema.SchemaField("x", 1, schema.SchemaType("int64")), schema.SchemaField("y", 2, schema.SchemaType("string"), default="d")))
+_WHOLE = schema.SchemaType("object", fields=(schema.SchemaField("one", 1, _PART), schema.SchemaField("sure", 2, _PART, required=True), schema.SchemaField("many", 3, schema.SchemaType("array", items=_PART))))
+
+
+@query(
+    "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 0 END END AS one_x, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus ELSE 'd' END END AS one_y,"
+    " CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN o_custkey ELSE 0 END AS sure_x, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 = 0 THEN o_orderstatus ELSE 'd' END AS sure_y,"
+    " CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 2 END AS many, CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 2 <> 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 0 END END AS first_x, CASE WHEN o_orderkey % 7 <> 0 THEN 'd' END AS second_y FROM orders"
+)
+def apply_defaults_nested(spark, sf_dir):
+    """Recursive defaults: missing fields of objects within, and of objects in arrays."""
+    k = F.col("o_orderkey")
+    x, y = F.when(k % 3 == 0, F.col("o_custkey")), F.when(k % 5 == 0, F.col("o_orderstatus"))
+    one = F.when(k % 2 == 0, F.struct(x.alias("x"), y.alias("y")))
+    bare = F.struct(F.lit(None).cast("long").alias("x"), F.lit(None).cast("string").alias("y"))
+    many = F.when(k % 7 != 0, F.array(one, bare))
+    df = table(spark, sf_dir, "orders").select(k.alias("k"), one.alias("one"), one.alias("sure"), many.alias("many"))
+    df = df.select("k", *schema.with_defaults({c: F.col(c) for c in ("one", "sure", "many")}, _WHOLE, "recursive"))
+    return df.select("k", "one.x", "one.y", "sure", "many").select("k", F.col("x").alias("one_x"), F.col("y").alias("one_y"), F.col("sure.x").alias("sure_x"), F.col("sure.y").alias("sure_y"), F.size("many").alias("many"), F.get("many", 0)["x"].alias("first_x"), F.get("many", 1)["y"].alias("second_y"))
+
+
+_MONEY = schema.Parser({"money": schema.SchemaType("float32"), "key": schema.SchemaType("int64")})
+_PRICED = {"id": "priced", "name": "priced", "properties": {"o_orderkey": {"type": "key", "tag": 1}, "o_totalprice": {"type": "money", "tag": 2}, "o_orderstatus": {"type": "string", "tag": 3}}}
+
+
+_PRICED_SQL = " || ".join([sql_item("1", 9, sql_le("o_orderkey", 8)), sql_item("2", 10, sql_le("(o_totalprice::FLOAT)::BIT::INTEGER", 4)), sql_item("3", 13, "hex(o_orderstatus)")])
+
+
+@query(f"SELECT o_orderkey, {sql_item('0', 15, 'fields')} AS item FROM (SELECT o_orderkey, {_PRICED_SQL} AS fields FROM orders)")
+def schema_mapping(spark, sf_dir):
+    """Rows encoded by a schema whose document names types of one's own."""
+    kind = _MONEY.parse(_PRICED).type.spark()
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.fields)).alias("r")).select("o_orderkey", F.hex(codec.encode_value(F.col("r"), kind)).alias("item"))
+
+
+_PREDICATES = {
+    "null": (0, 0, 0, 0), "boolean": (0, 0, 0, 0), **dict.fromkeys(("uint8", "uint16", "uint32", "uint64", "int8", "int16", "int32", "int64"), (1, 1, 0, 0)), **dict.fromkeys(("float32", "float64"), (1, 0, 1, 0)),
+    **dict.fromkeys(("binary", "string"), (0, 0, 0, 0)), **dict.fromkeys(("array", "object", "map", "union"), (0, 0, 0, 1)),
+}
+
+
+@query("SELECT name, numeric = 1 AS is_numeric, whole = 1 AS is_integer, float = 1 AS is_float, complex = 1 AS is_complex FROM (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, (a, b, c, d) in _PREDICATES.items()) + ") t(name, numeric, whole, float, complex)")
+def type_predicates(spark, sf_dir):
+    kinds = [schema.SchemaType(n) for n in _PREDICATES]
+    return spark.createDataFrame([(k.name, k.is_numeric, k.is_integer, k.is_float, k.is_complex) for k in kinds], "name string, is_numeric boolean, is_integer boolean, is_float boolean, is_complex boolean")
+
+
+_EVENTS = ("click", "view", "purchase", "error", "login", "logout", "signup", "scroll", "search")
+
+
+@query("SELECT event_type, CASE event_type " + " ".join(f"WHEN '{n}' THEN '{schema.tag_from_name(n)}'" for n in _EVENTS) + " END AS tag FROM (SELECT DISTINCT event_type FROM events)")
+def tag_of_name(spark, sf_dir):
+    """The JVM's hash of a name, which the tags that the driver makes must equal."""
+    return table(spark, sf_dir, "events").select("event_type").distinct().select("event_type", varint.unsigned(F.xxhash64("event_type")).cast("string").alias("tag"))
+
+
 _RULES = schema.SchemaType(
     "object",
     fields=(
@@ -471,6 +607,83 @@ def validate_constraints(spark, sf_dir):
     return df.select("c_custkey", F.size(schema.violations({c: F.col(c) for c in ("c_name", "c_acctbal", "c_custkey")}, _RULES)).alias("violations"))
 
 
+_U8, _I16 = schema.SchemaType("uint8"), schema.SchemaType("int16")
+_DEEP = schema.SchemaType(
+    "object",
+    fields=(
+        schema.SchemaField("list", 1, schema.SchemaType("array", items=_U8), constraints=schema.Constraints(max_length=3)),
+        schema.SchemaField("map", 2, schema.SchemaType("map", key=schema.SchemaType("string"), value=_U8)),
+        schema.SchemaField("any", 3, schema.SchemaType("union", members=(_I16, schema.SchemaType("string"), schema.SchemaType("array", items=_U8)))),
+        schema.SchemaField("objects", 4, schema.SchemaType("array", items=schema.SchemaType("object", fields=(schema.SchemaField("n", 1, _U8, required=True),)))),
+    ),
+)
+
+
+@query(
+    "SELECT event_id, concat_ws(';', CASE WHEN event_id % 400 > 255 THEN 'list[1]: out of range for uint8' END, CASE WHEN event_id % 5 = 0 THEN 'list: longer than 3' END, CASE WHEN event_id % 300 > 255 THEN 'map[b]: out of range for uint8' END,"
+    " CASE WHEN event_id % 6 IN (1, 3, 5) THEN 'any: does not match any type in union' END, CASE WHEN event_id % 7 = 0 THEN 'objects[1].n: required field is missing' WHEN event_id % 7 = 1 THEN 'objects[1].n: out of range for uint8' END) AS found FROM events"
+)
+def validate_nested(spark, sf_dir):
+    """What is wrong in arrays, maps, unions and objects in arrays."""
+    k = F.col("event_id")
+    values = F.array(F.lit(1).cast("smallint"), (k % 400).cast("smallint"), F.lit(2).cast("smallint"))
+    columns = {
+        "list": F.when(k % 5 == 0, F.concat(values, F.array(F.lit(3).cast("smallint")))).otherwise(values),
+        "map": F.create_map(F.lit("a"), F.lit(7).cast("smallint"), F.lit("b"), (k % 300).cast("smallint")),
+        "any": F.parse_json(F.element_at(F.array(*map(F.lit, ("-300", "40000", '"text"', "true", "[1, 255]", "[1, 256]"))), (k % 6 + 1).cast("int"))),
+        "objects": F.array(F.struct(F.lit(1).cast("smallint").alias("n")), F.struct(F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, 999).otherwise(9).cast("smallint").alias("n"))),
+    }
+    df = table(spark, sf_dir, "events").select("event_id", *(c.alias(n) for n, c in columns.items()))
+    return df.select("event_id", F.array_join(schema.violations({n: F.col(n) for n in columns}, _DEEP), ";").alias("found"))
+
+
+_TREE = schema.SchemaType(
+    "object",
+    fields=(
+        schema.SchemaField("id", 1, schema.SchemaType("uint32"), required=True),
+        schema.SchemaField("who", 2, schema.SchemaType("object", fields=(schema.SchemaField("type", 1, schema.SchemaType("string")), schema.SchemaField("raw", 2, schema.SchemaType("binary"))))),
+        schema.SchemaField("list", 3, schema.SchemaType("array", items=_I16)),
+        schema.SchemaField("map", 4, schema.SchemaType("map", key=schema.SchemaType("string"), value=_U8)),
+        schema.SchemaField("any", 5, schema.SchemaType("union", members=(_U8, schema.SchemaType("string")))),
+        schema.SchemaField("left", 6, schema.SchemaType("int8"), default=-5),
+        schema.SchemaField("flag", 7, schema.SchemaType("boolean")),
+    ),
+)
+_TREE_JSON = """'{"id": ' || event_id || ', "who": {"type": "' || event_type || '", "raw": "AQL/"}, "list": [-1, ' || (event_id % 1000) || '], "map": {"a": 1, "b": ' || (event_id % 256) || '}, "any": ' || CASE WHEN event_id % 2 = 0 THEN '9' ELSE '"nine"' END || ', "flag": ' || CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END || ', "extra": ' || (event_id % 200) || '}'"""
+
+
+def _sql_known_item(tag_hex: str, code: int, digits: str) -> str:
+    return f"('{tag_hex}' || '{code:02X}' || {sql_varint(f'length({digits}) // 2')} || {digits})"
+
+
+def _tree_sql() -> str:
+    """Level by level, so that each item is a column when its length is asked for."""
+    key = lambda c: sql_item("0", 13, f"hex('{c}')")
+    leaves = {
+        "id": sql_item("1", 4, sql_le("event_id", 4)),
+        "who": sql_item("1", 13, "hex(event_type)") + " || " + sql_item("2", 12, "'0102FF'"),
+        "list": sql_item("0", 7, "'FFFF'") + " || " + sql_item("1", 7, sql_le("event_id % 1000", 2)),
+        "a": key("a") + " || " + sql_item("1", 2, "'01'"),
+        "b": key("b") + " || " + sql_item("1", 2, sql_le("event_id % 256", 1)),
+        "either": f"""CASE WHEN event_id % 2 = 0 THEN {sql_item('5', 2, "'09'")} ELSE {sql_item('5', 13, "hex('nine')")} END""",
+        "left_": sql_item("6", 6, "'FB'"),
+        "flag": f"""CASE WHEN event_id % 3 = 0 THEN {sql_item('7', 1, "'01'")} ELSE {sql_item('7', 1, "'00'")} END""",
+    }
+    tag = varint.literal_hex(schema.tag_from_name("extra"))
+    leaves["extra"] = f"CASE WHEN event_id % 200 < 128 THEN {_sql_known_item(tag, 6, sql_le('event_id % 200', 1))} ELSE {_sql_known_item(tag, 7, sql_le('event_id % 200', 2))} END"
+    first = "SELECT event_id, " + ", ".join(f"{x} AS {n}" for n, x in leaves.items()) + " FROM events"
+    second = f"SELECT *, {sql_item('0', 15, 'a')} || {sql_item('1', 15, 'b')} AS pairs FROM ({first})"
+    third = f"SELECT event_id, id || {sql_item('2', 15, 'who')} || {sql_item('3', 14, 'list')} || {sql_item('4', 15, 'pairs')} || either || left_ || flag || extra AS whole FROM ({second})"
+    return f"SELECT event_id, {sql_item('0', 15, 'whole')} AS item FROM ({third})"
+
+
+@query(_tree_sql())
+def json_map_nested(spark, sf_dir):
+    """JSON with objects, arrays, maps, unions and binaries within, absent fields by default, and fields that the schema doesn't know kept."""
+    text = F.expr(_TREE_JSON.replace("|| event_id ||", "|| cast(event_id as string) ||"))
+    return table(spark, sf_dir, "events").select("event_id", F.hex(schema.json_to_items(text, _TREE, keep_unknown=True, defaults="all")).alias("item"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice BETWEEN 0 AND 65535 AS u16, l_extendedprice - 30000 BETWEEN -32768 AND 32767 AS i16, abs(l_extendedprice * 1e34) <= 3.4028234663852886e38 AS f32, CASE WHEN trunc(l_extendedprice) <= 65535 THEN trunc(l_extendedprice)::INT END AS as_u16 FROM lineitem")
 def numeric_range(spark, sf_dir):
     x = F.col("l_extendedprice")
@@ -499,10 +712,33 @@ def seal_and_open(spark, sf_dir):
     return df.select("c_custkey", crypto.decrypt(F.col("a"), "aes_gcm", KEY).cast("string").alias("aes"), crypto.decrypt(F.col("c"), "chacha20_poly1305", KEY).cast("string").alias("chacha"), F.octet_length("c").cast("long").alias("sealed_bytes"), wrong.alias("wrong_key_fails"))
 
 
-@query("SELECT n_nationkey, n_name AS name FROM nation")
+@query("SELECT s_suppkey, s_name AS name FROM supplier")
 def seal_to_public_key(spark, sf_dir):
-    sealed = crypto.encrypt(F.col("n_name").cast("binary"), "ecc", crypto.public_key(KEY))
-    return table(spark, sf_dir, "nation").select("n_nationkey", crypto.decrypt(sealed, "ecc", KEY).cast("string").alias("name"))
+    sealed = crypto.encrypt(F.col("s_name").cast("binary"), "ecc", crypto.public_key(KEY))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", crypto.decrypt(sealed, "ecc", KEY).cast("string").alias("name"))
+
+
+class _Vault:
+    """Keys kept outside of the manager."""
+
+    def __init__(self):
+        self.keys: dict[str, crypto.Key] = {}
+
+    def get(self, key_id: str) -> crypto.Key | None:
+        return self.keys.get(key_id)
+
+    def put(self, key: crypto.Key) -> None:
+        self.keys[key.id] = key
+
+
+@query("SELECT c_custkey, c_name AS opened, true AS other_fails FROM customer")
+def external_keys(spark, sf_dir):
+    """Values sealed under a key that one manager made and another gets from the same provider."""
+    vault = _Vault()
+    made, other = crypto.KeyManager(provider=vault).generate("aes"), crypto.KeyManager(provider=vault).generate("aes")
+    found = crypto.KeyManager(provider=vault).get(made.id).material
+    df = table(spark, sf_dir, "customer").select("c_custkey", crypto.encrypt(F.col("c_name").cast("binary"), "aes_gcm", made.material).alias("sealed"))
+    return df.select("c_custkey", crypto.decrypt(F.col("sealed"), "aes_gcm", found).cast("string").alias("opened"), crypto.decrypt(F.col("sealed"), "aes_gcm", other.material).isNull().alias("other_fails"))
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer")
@@ -516,3 +752,18 @@ def field_level_crypto(spark, sf_dir):
 def key_rotation(spark, sf_dir):
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key_id"), F.col("c_mktsegment").alias("kind"), F.col("c_acctbal").alias("created"))
     return crypto.newest_keys(keys, 2).select("key_id", "kind")
+
+
+# -- errors ------------------------------------------------------------------------------------------
+
+_PREFIXES = {k: e.prefix for k, e in errors.KINDS.items()}
+
+
+@query("SELECT e.event_id, kind, prefix || ': ' || event_type AS message FROM events e, (VALUES " + ", ".join(f"({i}, '{k}', '{p}')" for i, (k, p) in enumerate({"placeholder": "Placeholder Error", "codec": "Codec Error", "protocol": "Protocol Error", "compression": "Compression Error", "encryption": "Encryption Error", "schema": "Schema Error", "predicate": "Predicate Error", "index": "Index Error", "wasm": "Wasm Error", "internal": "Internal Error"}.items())) + ") t(i, kind, prefix) WHERE event_id % 10 = i")
+def error_kinds(spark, sf_dir):
+    """Messages of all kinds of errors, and the kind told from each."""
+    kinds = F.array(*map(F.lit, _PREFIXES.values()))
+    message = F.concat(F.get(kinds, (F.col("event_id") % 10).cast("int")), F.lit(": "), F.col("event_type"))
+    prefix = F.regexp_extract("message", "^([A-Z][a-z]+ Error): ", 1)
+    known = F.create_map(*(F.lit(x) for k, p in _PREFIXES.items() for x in (p, k)))
+    return table(spark, sf_dir, "events").select("event_id", message.alias("message")).select("event_id", known[prefix].alias("kind"), "message")

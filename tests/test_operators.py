@@ -135,3 +135,71 @@ def test_recursive_defaults(spark):
     df = spark.createDataFrame([((None, "k"), [(5, None)]), (None, None)], "o struct<x:int,y:string>, l array<struct<x:int,y:string>>")
     rows = df.select(*schema.with_defaults({c: F.col(c) for c in "ol"}, kind, "recursive")).collect()
     assert rows[0].o == (0, "k") and rows[0].l == [(5, "d")] and rows[1].o is None and rows[1].l == []
+
+
+def test_flat_rows_are_read_as_walked_ones_are():
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from tagweave.operators import codec
+
+    kind = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.StringType()), T.StructField("f", T.DoubleType()), T.StructField("b", T.BooleanType()), T.StructField("y", T.ByteType()), T.StructField("z", T.BinaryType(), metadata={"tag": 300})])
+    rng = np.random.default_rng(3)
+    item, names = codec.Item, ("i64", "string", "f64", "bool", "i8", "bytes")
+
+    def row():
+        values = (int(rng.integers(-9, 9)), "é" * int(rng.integers(0, 700)), float(rng.normal()), bool(rng.integers(2)), int(rng.integers(-128, 128)), bytes(rng.integers(0, 256, rng.integers(0, 20)).astype("u1")))
+        items = [item(t, n if rng.random() > 0.1 else "null", v) for t, n, v in zip((1, 2, 3, 4, 5, 300), names, values, strict=True)]
+        items = [i if i.name != "null" else item(i.tag, "null") for i in items]
+        return codec.write_item(item(7, "object", items=[items[i] for i in (rng.permutation(6)[: rng.integers(0, 7)] if rng.random() < 0.2 else range(6))]))
+
+    rows = [row() for _ in range(300)] + [None, codec.write_item(item(0, "object")), codec.write_item(item(1, "i64", 5)), codec.write_item(item(0, "object", items=[item(2, "string", "12345678"), item(1, "u8", 3)]))]
+    arrow = to_arrow_type(kind)
+    flat, done = codec.read_flat(pa.array(rows, pa.binary()).slice(0), kind, arrow)
+    assert 200 < done.sum() < len(rows)
+    for raw, got, ok in zip(rows, flat.to_pylist(), done, strict=True):
+        if ok:
+            assert got == (None if raw is None else codec.as_python(codec.read_item(raw)[0], kind))
+    cut = [r[: rng.integers(0, len(r))] for r in rows[:100]]
+    assert not codec.read_flat(pa.array(cut, pa.binary()), kind, arrow)[1].any()
+
+
+def test_headers_are_read_as_walked_ones_are(spark):
+    import numpy as np
+
+    from tagweave.operators import codec
+
+    rng = np.random.default_rng(4)
+    raws = [bytes(rng.integers(0, 256, rng.integers(0, 60)).astype("u1") & (0xFF if i % 2 else 0x83)) for i in range(400)]
+    got = packets.verified(spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(raws)], "i int, p binary"), "p").orderBy("i").collect()
+    for raw, r in zip(raws, got, strict=True):
+        try:
+            fields, head, body, checksum = packets.read_packet(raw)
+            assert r.error == (None if digests([head + body])[0] == checksum else "Checksum verification failed")
+            assert (r.schema_id % 2**64, r.timestamp % 2**64, r.shard_id % 2**64, r.flow_flags, r.body_type) == fields
+        except codec.CodecError as e:
+            assert r.error == str(e).removeprefix("Codec Error: ") and r.schema_id is None
+
+
+def test_overlong_header_is_checked_as_encoded_anew(spark):
+    signed = b"\x01\x00\x00" + bytes(4) + b"\x00" + b"body"
+    packet = b"\x81\x00\x00\x00" + bytes(4) + b"\x00" + b"body" + digests([signed])[0]
+    row = packets.verified(spark.createDataFrame([(bytearray(packet),)], "p binary"), "p").first()
+    assert row.error is None and row.schema_id == 1 and bytes(row.body) == b"body"
+
+
+def test_unknown_strategy_is_an_error(spark):
+    with pytest.raises(Exception, match="Unknown compression strategy bits in flow_flags: 2"):
+        spark.range(1).select(packets.known_strategy_of(F.lit(6))).collect()
+    with pytest.raises(Exception, match="Unknown body variant"):
+        n = F.lit(0).cast("long")
+        spark.range(1).select(packets.build_variant(n, n, n, n, F.lit("zip"), F.lit(b"x"))).collect()
+
+
+def test_error_kinds():
+    from tagweave.functions import errors
+
+    assert len(errors.KINDS) == 10 and str(errors.of_io(OSError("gone"))) == "Codec Error: IO Error during codec operation: gone"
+    assert errors.kind_of(str(schema.SchemaError("x"))) == "schema" and errors.kind_of("x") is None
