@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tagweave.llm import ann, html_render, jaccard, mixing, packing, pii, quality, spotsigs, substrings, textkit, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+#: Awkward texts.
+TEXTS = [None, "", " \n\t ", "one", "word " * 300, "x" * 2000, "1 " * 400, "é😀 " * 50]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -545,7 +547,7 @@ def test_one_of_each_keeps_texts_of_one_id(spark):
 
 def test_fingerprints(spark, documents, awkward, empty):
     rows = sorted(collected(documents))
-    got = {r.doc_id: r for r in spotsigs.with_next(documents, rows_a_part=30).collect()}
+    got = {r.doc_id: r for r in spotsigs.with_next(documents, range_bytes=60_000).collect()}
     for i, (d, t) in enumerate(rows):
         assert got[d].text == (t or "") and got[d].next_text == (rows[(i + 1) % len(rows)][1] or "")
     shown = spotsigs.with_next(awkward).select("text", spotsigs.printed(F.col("signatures")).alias("f"), "next_signatures").collect()
@@ -559,6 +561,70 @@ def test_fingerprints(spark, documents, awkward, empty):
     assert spotsigs.with_next(one).first().next_text == "one"
 
 
+def plain_signatures(text):
+    """The chains that open at anchors, at words without an anchor near, or at every word, in a loop over words."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    anchors, chains = set(spotsigs.ANCHORS), set()
+    for i, w in enumerate(words):
+        if w in anchors:
+            content = [x for x in words[i + 1 :] if x not in anchors][: spotsigs.CHAIN]
+            if len(content) == spotsigs.CHAIN:
+                chains.add(" ".join([w, *content]))
+        elif len(words) - i >= spotsigs.FREE and not anchors & set(words[i : i + spotsigs.FREE]):
+            chains.add(" ".join(words[i : i + spotsigs.CHAIN + 1]))
+    if not chains:
+        chains = {" ".join(words[i : i + spotsigs.CHAIN + 1]) for i in range(len(words) - spotsigs.CHAIN)}
+    return chains or ({" ".join(words)} - {""})
+
+
+def test_signatures_are_the_plain_ones(spark, documents):
+    rng = np.random.default_rng(10)
+    texts = [t for _, t in collected(documents)][:80] + TEXTS + [" ".join(rng.choice(["the", "of", "a", "x1", "y", "ünt"], rng.integers(0, 40))) for _ in range(200)]
+    texts += ["the " * 40 + "end of it", "the of and " * 30 + "one two three", "word " * 9, "a b", "the", "x-y_z"]
+    df = spark.createDataFrame([(i, t, sorted(plain_signatures(t))) for i, t in enumerate(texts)], "i int, t string, want array<string>")
+    want = F.array_sort(F.transform("want", lambda c: F.xxhash64(c)))
+    wrong = df.select("i", "t", "want", spotsigs.signatures(F.col("t")).alias("got"), want.alias("hashed")).where("got != hashed")
+    assert wrong.collect() == []
+
+
+def test_edited_is_the_plain_one(spark):
+    rng = np.random.default_rng(13)
+    rows = sorted((i, "".join(rng.choice(list("ab é😀\n"), rng.integers(0, 30)))) for i in range(60))
+    docs = spotsigs.with_next(spark.createDataFrame([*rows, (99, None)], "doc_id long, text string"), range_bytes=100)
+    got = {r.doc_id: r.e for r in docs.select("doc_id", spotsigs.edited(F.col("text"), F.col("next_text")).alias("e")).collect()}
+    rows.append((99, ""))
+    for (d, t), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
+        tail = len(t) // 4
+        assert got[d] == t[: len(t) - tail] + following[:tail]
+
+
+def test_rows_without_or_with_one_id_are_fingerprinted(spark):
+    rows = [(None, "b the one two"), (None, "a the one two"), (5, "d"), (5, "c"), (6, "e")]
+    got = {(r.doc_id, r.text): r.next_text for r in spotsigs.with_next(spark.createDataFrame(rows, "doc_id long, text string"), range_bytes=8).collect()}
+    order = [(None, "a the one two"), (None, "b the one two"), (5, "c"), (5, "d"), (6, "e")]
+    assert got == {k: n[1] for k, n in zip(order, order[1:] + order[:1], strict=True)}
+
+
+def test_similar_pairs_of_many(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BLOCK", 5)
+    rng = np.random.default_rng(14)
+    base = [f"w{i}" if i % 3 else "the" for i in range(240)]
+    rows = []
+    for k in range(40):
+        words = list(base) if k < 30 else [f"v{k}_{i}" if i % 3 else "the" for i in range(200)]
+        for i in rng.choice(len(words), rng.integers(0, 9), replace=False):
+            words[i] = f"x{k}_{i}"
+        rows.append((k, " ".join(words)))
+    sets = {d: plain_signatures(t) for d, t in rows}
+    ids = {}
+    for d in sorted(sets):
+        ids.setdefault(frozenset(sets[d]), d)
+    want = {(a, b) for a in ids.values() for b in ids.values() if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    members, pairs = spotsigs.similar_pairs(spark.createDataFrame([*rows, (77, None)], "doc_id long, text string"))
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 50
+    assert {r.doc_id: r.class_id for r in members.collect()} == {d: ids[frozenset(sets[d])] for d in sets} | {77: 77}
+
+
 def test_similar_fingerprints(spark):
     rng = np.random.default_rng(2)
     base = ["the" if i % 3 == 0 else f"w{x}" for i, x in enumerate(rng.integers(0, 5000, 900))]
