@@ -356,6 +356,53 @@ def test_redacted(documents, awkward, empty):
     assert pii.fit(empty).thresholds == {} and pii.redacted(empty, pii.Trees()).count() == 0
 
 
+def plain_spans(text, model):
+    """Base spans and added ones, candidate by candidate in a loop."""
+    base, found = base_spans(text), []
+    for kind, pattern in (("number", pii.NUMBER), ("secret", pii.SECRET), ("address", pii.ADDRESS)):
+        of = list(re.finditer(pattern, text))
+        for before_it, m in zip([None, *of], of, strict=False):
+            s, k = m.group(), pii.KINDS.index(kind)
+            count = lambda p, s=s: len(re.findall(p, s))
+            if kind == "number" and count("[0-9]") < 7:
+                continue
+            before = text[before_it.start() if before_it else 0 : m.start()][-pii.CONTEXT :].lower()
+            has = lambda p, t=before: float(bool(re.search(p, t, re.ASCII)))
+            f = [k, len(s), count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[^A-Za-z0-9]"), count("[A-Za-z0-9]+"), has(r"[=:] ?[\"']?$"), has(pii._CUES), has("[+(#$€£] ?$"), has(r"(^|\s|[\"'(])$"), has(r"^($|\s|[\"'),.;:!?])", text[m.end() : m.end() + 1]), has("^[0-9a-fA-F]+$", s)]
+            blind = [0.0 if n in pii.TELLING else v for n, v in zip(pii.FEATURES, f, strict=True)]
+            z = model.score_rows(np.array([f, blind], float)).max()
+            meets = any(a < m.end() and b > m.start() for a, _, b in base)
+            if z >= model.thresholds.get(k, math.inf) and not meets:
+                found.append((-z, m.start(), k, m.end()))
+    kept = []
+    for _, a, k, b in sorted(found):
+        if not any(x < b and y > a for x, _, y in kept):
+            kept.append((a, k, b))
+    return sorted(base + kept)
+
+
+def test_added_spans_are_the_plain_ones(spark, documents):
+    rng = np.random.default_rng(15)
+    pieces = ['token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"', "jo [at] example [dot] com", "account 1234 5678 9012 34", "build-0000-of-the-module-1234", "1234567-abcdefghijklmnop-7654321", "a@b.example.com", "10.0.0.255", "4111 1111 1111 1111", "some words", "secret: Ab12Cd34Ef56Gh78Ij90", "\n"]
+    rows = [(i, " ".join(rng.choice(pieces, rng.integers(1, 30)))) for i in range(60)]
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    model = pii.fit(docs)
+    got = pii.with_spans(docs, model).select("_text", "_spans").collect()
+    assert sum(s.k >= 4 for r in got for s in r._spans) > 100
+    for r in got:
+        assert [tuple(s) for s in r._spans] == plain_spans(r._text, model)
+
+
+def test_scores_are_those_of_the_trees(spark):
+    rng = np.random.default_rng(16)
+    x = np.round(rng.normal(size=(400, len(pii.FEATURES))), 2)
+    model = pii.boost(x, (x[:, 2] + x[:, 7] > 0.5).astype(float), rounds=6)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i int, f array<double>")
+    blind = np.where(np.isin(pii.FEATURES, pii.TELLING), 0, x)
+    rows = df.select("i", model.score(F.col("f")).alias("z"), model.score(F.col("f"), pii.TELLING).alias("b")).orderBy("i").collect()
+    assert np.allclose([r.z for r in rows], model.score_rows(x)) and np.allclose([r.b for r in rows], model.score_rows(blind))
+
+
 def test_thresholds_cover_all_documents(spark):
     ids = [r.doc_id for r in spark.range(400).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
     secret, plain = 'token = "0b96a8c8d79c4a5085c91969{:04d}" end', "see build-0000-of-the-module-{:04d}"
@@ -373,6 +420,31 @@ def test_thresholds_cover_all_documents(spark):
 # 5 and 7
 
 
+@pytest.mark.parametrize("prior", [0.1, 0.9])
+def test_first_step_follows_the_risk(prior):
+    """The optimiser's first step goes by the signs of the gradient, here that of the plain risk; where the part that must not be negative is, it goes up that part again."""
+    rng = np.random.default_rng(17)
+    positive = np.arange(200) < 60
+    sets = [{int(x) for x in rng.integers(0, 12, 5) if not (x < 4 and not p and rng.random() < 0.8)} for p in positive]
+    rows, cols = (np.array(c) for c in zip(*((i, f) for i, s in enumerate(sets) for f in sorted(s)), strict=True))
+    log_words = np.log1p([len(s) for s in sets])
+
+    def parts(w):
+        z = [sum(w[f] for f in s) + w[-2] * n + w[-1] for s, n in zip(sets, log_words, strict=True)]
+        mean = lambda kind, sign: np.mean([math.log1p(math.exp(-sign * t)) for t, p in zip(z, positive, strict=True) if p == kind])
+        return prior * mean(True, 1), mean(False, -1) - prior * mean(True, -1)
+
+    start = np.zeros(14)
+    start[-1] = math.log(prior / (1 - prior))
+    negative = parts(start)[1] < 0
+    assert negative == (prior == 0.9) or prior == 0.9
+    goal = (lambda w: -parts(w)[1]) if negative else (lambda w: sum(parts(w)))
+    slope = np.array([(goal(start + e) - goal(start - e)) / 2e-5 for e in np.eye(14) * 1e-5])
+    w = toxicity.non_negative_fit(rows, cols, log_words, positive, 12, prior, steps=1, rate=0.05, decay=0.0)
+    clear = np.abs(slope) > 1e-4
+    assert clear.sum() > 5 and np.allclose((w - start)[clear], -0.05 * np.sign(slope[clear]), atol=1e-3)
+
+
 def held(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
@@ -769,6 +841,35 @@ def test_repeats_text(awkward, empty):
 
 # shared
 
+LONG = [" " * 10**6, "a" * 10**6, "word of text and 1234567 more\n" * 40_000, "1 " * 500_000, "ab@" * 300_000]
+
+
+def test_very_long_texts(spark):
+    """Each is followed by a short one; what the operators say of them is known."""
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*LONG, LONG[2], "short one"])], "doc_id long, text string, lang string, source string, n_chars long")
+    n_words = [len(WORD.findall(t)) for t in [*LONG, LONG[2], "short one"]]
+    assert [r.component_id for r in jaccard.join_components(docs).orderBy("doc_id").collect()] == [0, 1, 2, 3, 4, 2, 6]
+    cut = substrings.without_repeats(docs).orderBy("doc_id").collect()
+    assert [r.n_words for r in cut] == n_words and [r.n_removed for r in cut] == [0, 0, n_words[2], n_words[3], 0, n_words[5], 0]
+    pieces = packing.pack(docs, PATH).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).orderBy("doc_id").collect()
+    assert [r.n for r in pieces] == [r["all"] for r in pieces] == [len(packing.encoder(PATH)(t)) + 1 for t in [*LONG, LONG[2], "short one"]]
+    assert len(quality.score(docs, quality.train([b"a good line\n", b"%%% ### %%%\n"] * 9, np.array([1, 0] * 9))).collect()) == 7
+    spans = pii.with_spans(docs, pii.Trees(start=1.0, thresholds={4: 0.0, 5: 0.0})).select("doc_id", F.size("_spans").alias("n")).orderBy("doc_id").collect()
+    assert [r.n for r in spans][2] == 40_000 and [r.n for r in spans][6] == 0
+    assert pii.redacted(docs, pii.Trees(start=1.0, thresholds={4: 0.0})).where("doc_id = 2").first().text == "word of text and [NUMBER] more\n" * 40_000
+
+
+def test_hashing_keeps_to_a_bound_of_memory():
+    import tracemalloc
+
+    text = b"some words 12 " * 2_000_000  # 28 MB, 6 million words
+    tracemalloc.start()
+    w = textkit.words([text])
+    textkit.run_hash(w.hash, 35)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 14 * len(text)
+
 
 def test_words():
     texts = ["", "a  b\tc", "é x\x0by", "no", " lead"]
