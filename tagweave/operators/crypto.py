@@ -146,12 +146,17 @@ def _key32(key: bytes) -> bytes:
     return key
 
 
-def encrypt(data: Column, strategy: str, key: bytes = b"") -> Column:
-    """BINARY sealed under a key (for "ecc": the receiver's public key)."""
+def _key_column(key: bytes | Column) -> Column:
+    """A key as a column. One that is given as bytes stands in plans, and so in event logs; one that is a column of the data does not."""
+    return key if isinstance(key, Column) else F.lit(_key32(key))
+
+
+def encrypt(data: Column, strategy: str, key: bytes | Column = b"") -> Column:
+    """BINARY sealed under a key (for "ecc": the receiver's public key). For AES the key may be a BINARY column."""
     if strategy == "none":
         return data
     if strategy == "aes_gcm":
-        return F.aes_encrypt(data, F.lit(_key32(key)), F.lit("GCM"))
+        return F.aes_encrypt(data, _key_column(key), F.lit("GCM"))
     if strategy == "chacha20_poly1305":
         _key32(key)
         return _mapped(data, lambda x: (nonce := os.urandom(12)) + chacha_seal(key, nonce, x), "fail")
@@ -160,13 +165,13 @@ def encrypt(data: Column, strategy: str, key: bytes = b"") -> Column:
     raise EncryptionError(f"unsupported strategy: {strategy}")
 
 
-def decrypt(data: Column, strategy: str, key: bytes = b"", on_error: str = "null") -> Column:
+def decrypt(data: Column, strategy: str, key: bytes | Column = b"", on_error: str = "null") -> Column:
     """BINARY opened (for "ecc": by the secret key). on_error: "fail", or "null" for what doesn't authenticate."""
     if strategy == "none":
         return data
     if strategy == "aes_gcm":
         act = F.aes_decrypt if on_error == "fail" else F.try_aes_decrypt
-        return act(data, F.lit(_key32(key)), F.lit("GCM"))
+        return act(data, _key_column(key), F.lit("GCM"))
     if strategy == "chacha20_poly1305":
         _key32(key)
         return _mapped(data, lambda x: chacha_open(key, x[:12], x[12:]), on_error)

@@ -203,3 +203,9 @@ def test_error_kinds():
 
     assert len(errors.KINDS) == 10 and str(errors.of_io(OSError("gone"))) == "Codec Error: IO Error during codec operation: gone"
     assert errors.kind_of(str(schema.SchemaError("x"))) == "schema" and errors.kind_of("x") is None
+
+
+def test_keys_of_rows(spark):
+    df = spark.createDataFrame([(i, bytearray(os.urandom(32)), f"text {i}") for i in range(3)], "i int, k binary, t string")
+    sealed = df.withColumn("s", crypto.encrypt(F.col("t").cast("binary"), "aes_gcm", F.col("k")))
+    assert [r.o for r in sealed.select(crypto.decrypt(F.col("s"), "aes_gcm", F.col("k")).cast("string").alias("o")).collect()] == ["text 0", "text 1", "text 2"]
