@@ -22,6 +22,10 @@ _SUMS = "path string, kind string, n long, low double, high double, fractional b
 _LIMIT = 2.0**63
 
 
+#: Paths that a task sums up before it passes them on; paths of a schema at most, since its document is made on the driver.
+MOST_HELD, MOST_PATHS = 100_000, 100_000
+
+
 def kinds_of(value: Any, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str, Any]]:
     """Path, kind and value of a JSON value and all values in it; "[]" is any element."""
     stack = [(path, value)]
@@ -38,9 +42,18 @@ def kinds_of(value: Any, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str
 def sums(df: DataFrame, column: str) -> DataFrame:
     """A row for each path and kind: how often, the numbers' bounds, whether any is a fraction, whether all strings look like base64. Text that isn't JSON counts as kind "invalid"."""
 
+    def told(found: dict[tuple, list]) -> pa.RecordBatch:
+        rows = [(json.dumps(p), k, *s[:1], *(float(x) if x is not None else None for x in s[1:3]), *s[3:]) for (p, k), s in found.items()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _SUMS.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple, list] = {}
         for batch in batches:
+            if len(found) > MOST_HELD:  # parts of sums are summed up later
+                yield told(found)
+                found = {}
             for cell in batch.column(0):
                 if not cell.is_valid:
                     continue
@@ -58,10 +71,7 @@ def sums(df: DataFrame, column: str) -> DataFrame:
                         s[3] = s[3] or isinstance(v, float)
                     elif kind == "string":
                         s[4] = s[4] and len(v.encode()) > 8 and bool(_BASE64.fullmatch(v))
-        rows = [(json.dumps(p), k, *s[:1], *(float(x) if x is not None else None for x in s[1:3]), *s[3:]) for (p, k), s in found.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _SUMS.split(", ")])
+        yield told(found)
 
     rows = df.select(F.col(column).cast("string")).mapInArrow(run, _SUMS)
     return rows.groupBy("path", "kind").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("fractional").alias("fractional"), F.bool_and("base64").alias("base64"))
@@ -82,6 +92,8 @@ def infer(df: DataFrame, column: str, schema_id: str, name: str, min_samples: in
         raise SchemaError(f"needs at least {min_samples} samples")
     by_path: dict[tuple[str, ...], dict[str, Any]] = {}
     for r in sums(df, column).toLocalIterator():  # a row for each path of the schema
+        if len(by_path) > MOST_PATHS:
+            raise SchemaError(f"more than {MOST_PATHS} paths: names in these objects are data")
         by_path.setdefault(tuple(json.loads(r.path)), {})[r.kind] = r
     children: dict[tuple[str, ...], list[str]] = {}
     for path in by_path:

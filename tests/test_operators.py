@@ -209,3 +209,11 @@ def test_keys_of_rows(spark):
     df = spark.createDataFrame([(i, bytearray(os.urandom(32)), f"text {i}") for i in range(3)], "i int, k binary, t string")
     sealed = df.withColumn("s", crypto.encrypt(F.col("t").cast("binary"), "aes_gcm", F.col("k")))
     assert [r.o for r in sealed.select(crypto.decrypt(F.col("s"), "aes_gcm", F.col("k")).cast("string").alias("o")).collect()] == ["text 0", "text 1", "text 2"]
+
+
+def test_inference_of_names_that_are_data(spark, monkeypatch):
+    docs = spark.createDataFrame([(json.dumps({f"k{i}": 1}),) for i in range(40)], "j string")
+    assert len(inference.infer(docs, "j", "s", "s").type.fields) == 40
+    monkeypatch.setattr(inference, "MOST_PATHS", 10)
+    with pytest.raises(schema.SchemaError, match="names in these objects are data"):
+        inference.infer(docs, "j", "s", "s")
