@@ -240,7 +240,7 @@ def search(index: Index, rows: DataFrame, queries: DataFrame, k: int = 20, probe
     parts = [(i, max(1, -(-int(n) // (2 * BLOCK))), max(1, -(-asked.get(i, 0) // QUERIES))) for i, n in enumerate(held)]
     shape = F.broadcast(spark.createDataFrame(parts, "group int, blocks int, query_blocks int"))  # a row a group
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-    left = rows.join(shape, "group").select("group", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), each("query_blocks", "query_block"), "list", "vec_id", "code", "vector")
+    left = rows.join(shape, "group").select("group", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int").alias("block"), each("query_blocks", "query_block"), "list", "vec_id", "code", "vector")
     right = wanted.join(shape, "group").select("group", each("blocks", "block"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("query_block"), "query_id", "query", "lists")
     found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
