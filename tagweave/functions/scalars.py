@@ -93,6 +93,65 @@ def _of_bits(bits: Column, name: str, width: int, kind: str, spark: str) -> Colu
     return F.reflect(F.lit("java.lang.Float"), F.lit("intBitsToFloat"), signed.cast("int")).cast("float") if name == "f32" else signed.cast(spark)
 
 
+# -- integers beyond their type ----------------------------------------------------------------------
+
+_NIBBLES = 0x0F0F0F0F0F0F0F0F
+
+
+def _wider(name: str) -> list[str]:
+    """The types of an integer type's kind that are as wide or wider, narrowest first."""
+    if name not in NUMBERS or NUMBERS[name].kind == "f":
+        raise ValueError(f"Codec Error: {name} is not an integer type")
+    return [n for n, s in NUMBERS.items() if s.kind == NUMBERS[name].kind and s.width >= NUMBERS[name].width]
+
+
+def fitting(low: Column, high: Column, name: str) -> Column:
+    """struct<type tinyint, width int> of the narrowest type from `name` on, of its kind, that holds all integers from low to high; an error if none does."""
+    types = _wider(name)
+    of = lambda n: F.struct(F.lit(CODES[n]).cast("tinyint").alias("type"), F.lit(NUMBERS[n].width).alias("width"))
+    out = of(types[-1])
+    for n in reversed(types[:-1]):
+        bits = 8 * NUMBERS[n].width
+        least, most = (0, (1 << bits) - 1) if NUMBERS[n].kind == "u" else (-(1 << bits - 1), (1 << bits - 1) - 1)
+        out = F.when(low.isNull() | (low >= least) & (high <= most), of(n)).otherwise(out)
+    if NUMBERS[name].kind == "u":
+        out = F.when(low < 0, F.raise_error(F.concat(F.lit("Codec Error: "), low.cast("string"), F.lit(f" is out of range for {name}")))).otherwise(out)
+    return out
+
+
+def integer_bits(value: Column, name: str) -> Column:
+    """An integer's bits as a long: those of a DECIMAL over 2^63 too, where the type is u64."""
+    _wider(name)
+    return _bits(value, name)
+
+
+def _bytes_turned(bits: Column) -> Column:
+    """A long whose hexadecimal digits, read from the end, are its bytes from the low one."""
+    mask = F.lit(_NIBBLES)
+    return F.shiftleft(bits.bitwiseAND(mask), 4).bitwiseOR(F.shiftrightunsigned(bits, 4).bitwiseAND(mask))
+
+
+def low_bytes_hex(bits: Column, width: Column) -> Column:
+    """Digits of as many of a long's bytes, from the low one."""
+    return F.left(F.reverse(F.lpad(F.hex(_bytes_turned(bits)), 16, "0")), 2 * width)
+
+
+def encode_fitting(value: Column, name: str) -> Column:
+    """encode(), but an integer that `name` doesn't hold is written in the next wider type that does, and none is cut."""
+    return F.unhex(low_bytes_hex(integer_bits(value, name), fitting(value, value, name)["width"]))
+
+
+def decode_fitting(data: Column, name: str) -> Column:
+    """What encode_fitting() wrote, as BIGINT or, unsigned, DECIMAL(20,0): the number of bytes tells the type. Null for another number of bytes."""
+    known = F.when(F.octet_length(data).isin([NUMBERS[n].width for n in _wider(name)]), data)
+    turned = F.conv(F.reverse(F.rpad(F.hex(known), 16, "0")), 16, -10).cast("long")
+    bits = _bytes_turned(turned)
+    if NUMBERS[name].kind == "u":
+        return varint.unsigned(bits)
+    unused = 64 - 8 * F.octet_length(known)
+    return F.call_function("shiftright", F.call_function("shiftleft", bits, unused), unused)
+
+
 def width_ok(data: Column, name: str) -> Column:
     if name in ("bytes", "string"):
         return data.isNotNull()

@@ -453,6 +453,52 @@ def encode_batch(values: Column, name: str) -> Column:
     return F.unhex(F.array_join(F.transform(values, lambda x: scalars.encode_hex(x, name)), ""))
 
 
+def encode_batch_fitting(values: Column, name: str) -> Column:
+    """struct<type tinyint, data binary>: packed integers in the narrowest type from `name` on that holds all of them."""
+    ranged = bind(values, lambda v: F.struct(v.alias("values"), F.array_min(v).alias("low"), F.array_max(v).alias("high")))
+    typed = bind(ranged, lambda r: F.struct(r["values"].alias("values"), scalars.fitting(r["low"], r["high"], name).alias("of")))
+
+    def put(b: Column) -> Column:
+        bits, widths = F.transform(b["values"], lambda x: scalars.integer_bits(x, name)), F.array_repeat(b["of"]["width"], F.size(b["values"]))
+        digits = F.zip_with(bits, widths, scalars.low_bytes_hex)
+        return F.struct(b["of"]["type"].alias("type"), F.unhex(F.array_join(digits, "")).alias("data"))
+
+    return bind(typed, put)
+
+
+def decode_batch_fitting(packed: Column, name: str) -> Column:
+    """array<bigint>, or of DECIMAL(20,0) if unsigned, of what encode_batch_fitting() wrote: each row's own type is read."""
+    unsigned = scalars.NUMBERS[name].kind == "u"
+    wide, arrow = (np.dtype("<u8"), pa.decimal128(20, 0)) if unsigned else (np.dtype("<i8"), pa.int64())
+
+    @F.arrow_udf("array<decimal(20,0)>" if unsigned else "array<bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            types, data = batch.flatten()
+            rows = data.to_pylist()
+            codes = types.fill_null(CODES[name]).to_numpy(zero_copy_only=False)
+            sizes = np.zeros(len(rows), np.int64)
+            parts = []
+            for code in np.unique(codes):
+                kind = NAMES.get(int(code))
+                if kind not in DTYPES or DTYPES[kind].kind != wide.kind:
+                    raise CodecError("Unsupported type for batch processing")
+                own = np.flatnonzero(codes == code)
+                lengths = np.array([len(rows[i] or b"") for i in own])
+                if (lengths % DTYPES[kind].itemsize).any():
+                    raise CodecError(f"Invalid data length for batch decoding: must be a multiple of {DTYPES[kind].itemsize}")
+                sizes[own] = lengths // DTYPES[kind].itemsize
+                parts.append((code, np.frombuffer(b"".join(rows[i] or b"" for i in own), DTYPES[kind])))
+            flat = np.zeros(sizes.sum(), wide)
+            of = np.repeat(codes, sizes)
+            for code, numbers in parts:
+                flat[of == code] = numbers
+            ends = np.cumsum([0, *sizes]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat).cast(arrow), mask=pa.array([x is None for x in rows]))
+
+    return run(packed)
+
+
 # -- blocks ----------------------------------------------------------------------------------------
 
 NESTED, COMPRESSED, ENCRYPTED = 1, 2, 4

@@ -190,11 +190,12 @@ _PACKED = {
 
 @query("SELECT o_orderkey, " + ", ".join(f"({x})::BIGINT AS {n}_first, {y}::BIGINT AS {n}_second" for n, (x, y) in _PACKED.items()) + ", o_totalprice::FLOAT::DOUBLE AS f32_first, -0.5::DOUBLE AS f32_second, o_totalprice AS f64_first, -o_totalprice AS f64_second FROM orders")
 def batch_decode_all(spark, sf_dir):
-    """Packed batches of every type of number, encoded and read back."""
-    pairs = {n: F.array(*(F.expr(f"cast({x} as {scalars.NUMBERS[n].spark})") for x in of)) for n, of in _PACKED.items()}
-    pairs |= {"f32": F.array(F.col("o_totalprice").cast("float"), F.lit(-0.5).cast("float")), "f64": F.array(F.col("o_totalprice"), -F.col("o_totalprice"))}
-    read = table(spark, sf_dir, "orders").select("o_orderkey", *(codec.decode_batch(codec.encode_batch(v, n), n).alias(n) for n, v in pairs.items()))
-    return read.select("o_orderkey", *(F.col(n)[i].cast("double" if n[0] == "f" else "long").alias(f"{n}_{('first', 'second')[i]}") for n in pairs for i in (0, 1)))
+    """Packed batches of every type of number, encoded and read back; integers beyond their type go in a wider one."""
+    integers = {n: F.array(*(F.expr(f"cast({x} as bigint)") for x in of)) for n, of in _PACKED.items()}
+    reals = {"f32": F.array(F.col("o_totalprice").cast("float"), F.lit(-0.5).cast("float")), "f64": F.array(F.col("o_totalprice"), -F.col("o_totalprice"))}
+    packed = table(spark, sf_dir, "orders").select("o_orderkey", *(codec.encode_batch_fitting(v, n).alias(n) for n, v in integers.items()), *(codec.encode_batch(v, n).alias(n) for n, v in reals.items()))
+    read = packed.select("o_orderkey", *(codec.decode_batch_fitting(F.col(n), n).alias(n) for n in integers), *(codec.decode_batch(F.col(n), n).alias(n) for n in reals))
+    return read.select("o_orderkey", *(F.col(n)[i].cast("double" if n[0] == "f" else "long").alias(f"{n}_{('first', 'second')[i]}") for n in [*integers, *reals] for i in (0, 1)))
 
 
 @query("SELECT * FROM (VALUES (1, NULL), (32, NULL), (33, 'Codec Error: Maximum nesting depth (32) exceeded')) t(depth, error)")

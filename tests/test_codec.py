@@ -145,6 +145,25 @@ def test_batches(spark, name, data):
     assert list(map(float, df.select(codec.decode_batch(codec.encode_batch(F.col("v"), name), name).alias("b")).first().b)) == list(map(float, data))
 
 
+@pytest.mark.parametrize(
+    ("name", "data", "kind", "size"),
+    [("u8", [1, 255], "u8", 2), ("u8", [1, 256], "u16", 4), ("u16", [0, 2**32 - 1], "u32", 8), ("u32", [2**32, 2**63 - 1], "u64", 16), ("i8", [-128, 127], "i8", 2), ("i8", [-129], "i16", 2), ("i16", [32768, -1], "i32", 8), ("i32", [-(2**31) - 1], "i64", 8), ("i64", [-(2**63), 2**63 - 1], "i64", 16), ("i16", [], "i16", 0), ("u32", None, "u32", None)],
+)
+def test_batches_beyond_their_type(spark, name, data, kind, size):
+    df = spark.createDataFrame([(data,), ([7],)], "v array<bigint>").coalesce(1).select("v", codec.encode_batch_fitting(F.col("v"), name).alias("b"))
+    first, second = df.select("v", "b", F.octet_length("b.data").alias("size"), codec.decode_batch_fitting(F.col("b"), name).cast("array<bigint>").alias("back")).collect()
+    assert (scalars.NAMES[first.b.type], first.size, first.back) == (kind, size, data)
+    assert (scalars.NAMES[second.b.type], second.back) == (name, [7])
+
+
+def test_batches_of_no_type(spark):
+    df = spark.sql("SELECT array(-1L) v")
+    with pytest.raises(Exception, match="-1 is out of range for u8"):
+        df.select(codec.encode_batch_fitting(F.col("v"), "u8")).collect()
+    wide = spark.sql("SELECT array(cast('18446744073709551615' as decimal(20,0))) v")
+    assert int(wide.select(codec.decode_batch_fitting(codec.encode_batch_fitting(F.col("v"), "u64"), "u64").alias("b")).first().b[0]) == 2**64 - 1
+
+
 def test_blocks(spark):
     data = bytes.fromhex("010201") + b"\x06" + bytes.fromhex("000700") + b"\x02" + b"hi"
     block, read = codec.read_block(data)

@@ -60,3 +60,17 @@ def test_packet_filters_reach_the_scan(spark, tmp_path):
     kept = store.read(spark, str(tmp_path / "p")).where("shard_id = 2")
     assert "EqualTo(shard_id,2)" in kept._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.id for r in store.unframe(kept, df.schema).collect()) == list(range(2, 100, 4))
+
+
+def same_as_sql(spark, folder, name):
+    c = duckdb.connect()
+    for f in os.listdir(folder):
+        c.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}'")
+    got, want = queries.QUERIES[name](spark, str(folder)).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
+    assert len(got) and rows(got) == rows(want)
+
+
+def test_batches_of_large_keys(spark, tmp_path):
+    """Keys for which u32 and i32 are too narrow."""
+    duckdb.sql(f"COPY (SELECT * REPLACE (o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 9000000 ELSE 0 END AS o_orderkey, o_custkey + o_orderkey % 3 * 900000 AS o_custkey) FROM '{FOLDER}/orders.parquet' LIMIT 60) TO '{tmp_path}/orders.parquet'")
+    same_as_sql(spark, tmp_path, "batch_decode_all")
