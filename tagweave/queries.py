@@ -89,9 +89,11 @@ def le_encode(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_shipdate, " + ", ".join(f"({x})::BIGINT AS {n}" for n, (x, _) in _LE.items()) + ", l_extendedprice AS f64, l_discount::FLOAT::DOUBLE AS f32 FROM lineitem")
 def le_decode(spark, sf_dir):
-    columns = [scalars.decode(scalars.encode(F.expr(x), n), n).cast("long").alias(n) for n, (x, _) in _LE.items()]
+    """Scalars written and read back; integers beyond their type go in a wider one."""
+    written = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_discount", *(scalars.encode_fitting(F.expr(x), n).alias(n) for n, (x, _) in _LE.items()))
+    columns = [scalars.decode_fitting(F.col(n), n).cast("long").alias(n) for n in _LE]
     reals = [scalars.decode(scalars.encode(F.col(c), n), n).cast("double").alias(n) for n, c in (("f64", "l_extendedprice"), ("f32", "l_discount"))]
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", *columns, *reals)
+    return written.select("l_orderkey", "l_linenumber", "l_shipdate", *columns, *reals)
 
 
 @query("SELECT c_custkey, c_acctbal > 0 AS flag, c_name AS string, c_mktsegment AS bytes FROM customer")

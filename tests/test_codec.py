@@ -41,6 +41,16 @@ def test_scalar_golden(spark, name, value, digits):
     assert row.h == digits and row.back == row.v
 
 
+@pytest.mark.parametrize(
+    ("name", "value", "digits"),
+    [("u8", 255, "FF"), ("u8", 256, "0001"), ("u16", 2**16, "00000100"), ("u32", 2**32, "0000000001000000"), ("i8", -128, "80"), ("i8", -129, "7FFF"), ("i16", 32768, "00800000"), ("i16", -32769, "FF7FFFFF"), ("i32", -(2**31) - 1, "FFFFFF7FFFFFFFFF"), ("i64", -(2**63), "0000000000000080"), ("i16", None, None)],
+)
+def test_scalars_beyond_their_type(spark, name, value, digits):
+    df = spark.createDataFrame([(value,)], "v bigint").select(scalars.encode_fitting(F.col("v"), name).alias("b"))
+    row = df.select(F.hex("b").alias("h"), scalars.decode_fitting(F.col("b"), name).cast("bigint").alias("back")).first()
+    assert (row.h, row.back) == (digits, value)
+
+
 def test_wrong_width_is_null(spark):
     assert spark.createDataFrame([(bytearray(b"abc"),)], "b binary").select(scalars.decode(F.col("b"), "u32").alias("v")).first().v is None
 

@@ -74,3 +74,9 @@ def test_batches_of_large_keys(spark, tmp_path):
     """Keys for which u32 and i32 are too narrow."""
     duckdb.sql(f"COPY (SELECT * REPLACE (o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 9000000 ELSE 0 END AS o_orderkey, o_custkey + o_orderkey % 3 * 900000 AS o_custkey) FROM '{FOLDER}/orders.parquet' LIMIT 60) TO '{tmp_path}/orders.parquet'")
     same_as_sql(spark, tmp_path, "batch_decode_all")
+
+
+def test_scalars_of_large_keys(spark, tmp_path):
+    """Keys for which i16 and u32 are too narrow."""
+    duckdb.sql(f"COPY (SELECT * REPLACE (l_suppkey + l_linenumber * 20000 AS l_suppkey, l_orderkey + l_linenumber % 2 * 700000000 AS l_orderkey, l_partkey + l_linenumber % 3 * 3000000000 AS l_partkey) FROM '{FOLDER}/lineitem.parquet' LIMIT 60) TO '{tmp_path}/lineitem.parquet'")
+    same_as_sql(spark, tmp_path, "le_decode")
