@@ -241,20 +241,32 @@ class Registry:
 # -- numbers ---------------------------------------------------------------------------------------
 
 
+def _is_real(value: Column) -> Column:
+    return F.typeof(value).isin("float", "double")
+
+
 def in_range(value: Column, name: str) -> Column:
-    """Whether a number is within a type's range; zero is within every one."""
+    """Whether a number is within a type's range, fractions included; zero is within every one. Reals are compared as such, and other numbers exactly."""
     if name == "float64":
         return value.isNotNull()
-    low, high = (-FLOAT32_MAX, FLOAT32_MAX) if name == "float32" else RANGES[name]
-    lit = (lambda x: F.lit(x)) if name == "float32" else (lambda x: F.lit(str(x)).cast("decimal(38,0)"))
-    wide = value.cast("double") if name == "float32" else value.cast("decimal(38,4)")
-    return wide.between(lit(low), lit(high))
+    if name == "float32":
+        return value.cast("double").between(F.lit(-FLOAT32_MAX), F.lit(FLOAT32_MAX))
+    low, high = RANGES[name]
+    real = value.cast("double")
+    below = real <= float(high) if high < 1 << 53 else real < float(high + 1)  # no double lies between
+    exact = lambda x: F.lit(str(x)).cast("decimal(20,0)")
+    return F.when(_is_real(value), (real >= float(low)) & below).otherwise((F.floor(value) >= exact(low)) & (F.ceil(value) <= exact(high)))
 
 
 def to_number(value: Column, name: str) -> Column:
-    """A double as a type's value: fractions are cut off, null if out of range."""
-    whole = value if name in ("float32", "float64") else F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).cast("decimal(38,0)")
-    return F.when(in_range(whole, name), whole.try_cast(_SPARK[name]))
+    """A number as a type's value: fractions are cut off, null if out of range."""
+    if name in ("float32", "float64"):
+        return F.when(in_range(value, name), value.try_cast(_SPARK[name]))
+    cut = F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value))
+    large = _is_real(value) & (F.abs(value) >= float(1 << 53))  # whole, and perhaps beyond a long
+    upper = (value.cast("double") - float(1 << 63)).try_cast("bigint").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    whole = F.when(large & (value >= float(1 << 63)), upper).otherwise(cut.cast("decimal(38,0)")) if name == "uint64" else cut
+    return F.when(F.when(large, in_range(value, name)).otherwise(in_range(cut, name)), whole.try_cast(_SPARK[name]))
 
 
 # -- defaults --------------------------------------------------------------------------------------

@@ -217,3 +217,13 @@ def test_inference_of_names_that_are_data(spark, monkeypatch):
     monkeypatch.setattr(inference, "MOST_PATHS", 10)
     with pytest.raises(schema.SchemaError, match="names in these objects are data"):
         inference.infer(docs, "j", "s", "s")
+
+
+@pytest.mark.parametrize(
+    ("value", "name", "within", "number"),
+    [("65535.49D", "uint16", False, 65535), ("65535.0D", "uint16", True, 65535), ("32767.26D", "int16", False, 32767), ("-0.25D", "uint8", False, 0), ("-128.5D", "int8", False, -128), ("65535.49BD", "uint16", False, 65535), ("cast('255.000000001' as decimal(38,9))", "uint8", False, 255), ("256L", "uint8", False, None), ("-1", "uint8", False, None),
+     ("9223372036854775808D", "int64", False, None), ("-9223372036854775808D", "int64", True, -(2**63)), ("9223372036854775808D", "uint64", True, 2**63), ("1e19D", "uint64", True, 10**19), ("18446744073709551616D", "uint64", False, None), ("cast('18446744073709551615' as decimal(20,0))", "uint64", True, 2**64 - 1), ("double('inf')", "uint8", False, None), ("double('nan')", "int32", False, None), ("cast(null as double)", "int8", None, None)],
+)
+def test_numeric_ranges(spark, value, name, within, number):
+    row = spark.sql(f"SELECT {value} v FROM range(1)").select(schema.in_range(F.col("v"), name).alias("r"), schema.to_number(F.col("v"), name).alias("n")).first()
+    assert row.r == within and (row.n if row.n is None else int(row.n)) == number

@@ -80,3 +80,10 @@ def test_scalars_of_large_keys(spark, tmp_path):
     """Keys for which i16 and u32 are too narrow."""
     duckdb.sql(f"COPY (SELECT * REPLACE (l_suppkey + l_linenumber * 20000 AS l_suppkey, l_orderkey + l_linenumber % 2 * 700000000 AS l_orderkey, l_partkey + l_linenumber % 3 * 3000000000 AS l_partkey) FROM '{FOLDER}/lineitem.parquet' LIMIT 60) TO '{tmp_path}/lineitem.parquet'")
     same_as_sql(spark, tmp_path, "le_decode")
+
+
+def test_prices_about_bounds(spark, tmp_path):
+    """Fractions above a bound are out of range."""
+    prices = "[65534.5, 65535, 65535.01, 65535.49, 65535.5, 65536, 62767, 62767.26, 62767.5, 62768, 34028.23, 34028.24, 0, 900.68]"
+    duckdb.sql(f"COPY (SELECT * REPLACE ({prices}[n] AS l_extendedprice) FROM (SELECT *, row_number() OVER () % 14 + 1 AS n FROM '{FOLDER}/lineitem.parquet' LIMIT 60)) TO '{tmp_path}/lineitem.parquet'")
+    same_as_sql(spark, tmp_path, "numeric_range")
